@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import exact_dedup
 from .exact_dedup import exact_duplicates
+from .quality import quality_scores
 from .token_counts import token_counts
+from .token_output import token_output
+from .toxicity import toxicity_scores
 
 #: The tokenizer that the queries use; any .json or .model file will do.
 TOKENIZER = "byte_bpe_50k.json"
@@ -28,12 +31,24 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_documents(spark, sf_dir))
 
 
+def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output(_documents(spark, sf_dir), _tokenizer(), end_id=2)
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_documents(spark, sf_dir), _tokenizer(), limit=512)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_exact_dedup, op7_token_counts)
+    f.__name__: f for f in (op3_exact_dedup, op4_token_output, op7_token_counts, op8_toxicity, op10_quality)
 }
 
 ORACLE_SQL: dict[str, str] = {"op3_exact_dedup": exact_dedup.ORACLE_SQL}
