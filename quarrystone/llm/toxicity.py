@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 from .common import single_thread, whole
 from .labelled import id_remainder, labelled_sample
 
-WINDOW_WORDS = 4
-LEVEL = 3
+WINDOW_WORDS, STRIDE_WORDS = 12, 3
+LEVEL = 7
+#: Distances, in bytes, at which windows are counted; how much each count says is fitted.
+THRESHOLDS = (2, 3, 4, 5, 6, 8)
 SHARED_BYTES = 4
 
 
@@ -68,20 +70,21 @@ def ordinary_dictionary(ordinary: list[str], size: int = 4096, samples: int = 40
 
 
 def _windows(words: list[bytes]) -> list[bytes]:
-    return [b" ".join(words[i : i + WINDOW_WORDS]) + b" " for i in range(0, len(words), WINDOW_WORDS)]
+    return [b" ".join(words[i : i + WINDOW_WORDS]) + b" " for i in range(0, len(words), STRIDE_WORDS)]
 
 
 class Distances:
-    """Of a text: the largest (ordinary length - toxic length) of its windows, and how many reach the threshold.
+    """Of a text: the largest (ordinary length - toxic length) of its windows, and how many reach each threshold.
 
-    A window none of whose words shares four bytes with the toxic dictionary can't be referred to it; its distance
-    counts as 0 without compressing. Which words do is remembered.
+    The toxic dictionary is the ordinary one with what toxic texts add, so lengths differ by the latter alone.
+    A window none of whose words shares four bytes with that part can't be referred to it; its distance counts as 0
+    without compressing. Which words do is remembered.
     """
 
-    def __init__(self, toxic: bytes, ordinary: bytes, threshold: int):
-        self.threshold, self.empty = threshold, not toxic
+    def __init__(self, toxic: bytes, ordinary: bytes):
+        self.empty = not toxic
         if toxic:
-            self.toxic, self.ordinary = _compressor(toxic), _compressor(ordinary)
+            self.toxic, self.ordinary = _compressor(ordinary + toxic), _compressor(ordinary)
         grams = {toxic[i : i + SHARED_BYTES] for i in range(len(toxic) - SHARED_BYTES + 1)}
 
         class Shares(dict):
@@ -93,37 +96,46 @@ class Distances:
 
         self.shares = Shares()
 
-    def of(self, text: str) -> tuple[int, int]:
+    def of(self, text: str) -> tuple[int, ...]:
+        found = [0] * (1 + len(THRESHOLDS))
         if self.empty:
-            return 0, 0
+            return tuple(found)
         words = _words(text)
-        most, reached = 0, 0
-        for k in sorted({i // WINDOW_WORDS for i, hit in enumerate(map(self.shares.__getitem__, words)) if hit}):
-            window = b" ".join(words[k * WINDOW_WORDS : (k + 1) * WINDOW_WORDS]) + b" "
+        starts = set()
+        for i, hit in enumerate(map(self.shares.__getitem__, words)):
+            if hit:
+                starts.update(range(i // STRIDE_WORDS * STRIDE_WORDS, max(-1, i - WINDOW_WORDS), -STRIDE_WORDS))
+        for k in starts:
+            window = b" ".join(words[k : k + WINDOW_WORDS]) + b" "
             d = len(self.ordinary.compress(window)) - len(self.toxic.compress(window))
-            most, reached = max(most, d), reached + (d >= self.threshold)
-        return most, reached
+            found[0] = max(found[0], d)
+            for j, t in enumerate(THRESHOLDS, 1):
+                found[j] += d >= t
+        return tuple(found)
 
 
 @dataclass
 class ToxicityModel:
     toxic: bytes
     ordinary: bytes
-    threshold: int
-    weights: tuple[float, float, float]
+    weights: np.ndarray
 
-    def score(self, most: int, reached: int) -> float:
-        a, b, c = self.weights
-        return 1 / (1 + math.exp(-max(-30, min(30, a * min(most, 12) + b * math.log1p(min(reached, 20)) + c))))
+    def scores(self, found: list[tuple[int, ...]]) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(_evidence(found) @ self.weights, -30, 30)))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
-    """Weighted Newton iterations; the last column of x is 1."""
-    beta = np.zeros(x.shape[1])
-    for _ in range(30):
+def _evidence(found: list[tuple[int, ...]]) -> np.ndarray:
+    f = np.array(found, float).reshape(len(found), 1 + len(THRESHOLDS))
+    return np.column_stack([np.minimum(f[:, 0], 16), np.log1p(np.minimum(f[:, 1:], 24)), np.ones(len(f))])
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 0.3) -> np.ndarray:
+    """Weighted Newton iterations; the last column of x is 1 and is not held back."""
+    beta, hold = np.zeros(x.shape[1]), ridge * np.eye(x.shape[1])
+    hold[-1, -1] = 1e-6
+    for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        h = (x * (w * p * (1 - p))[:, None]).T @ x + ridge * np.eye(x.shape[1])
-        step = np.linalg.solve(h, x.T @ (w * (y - p)) - ridge * beta)
+        step = np.linalg.solve((x * (w * p * (1 - p))[:, None]).T @ x + hold, x.T @ (w * (y - p)) - hold @ beta)
         beta += step
         if np.abs(step).max() < 1e-8:
             break
@@ -131,35 +143,32 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1e-2)
 
 
 def fit_toxicity(sample: list[tuple[str, int]], counts: dict[int, int]) -> ToxicityModel:
-    """Dictionaries from two thirds of the sample; the window threshold and the scale of scores from the rest."""
+    """Dictionaries from two thirds of the sample; the weights of the thresholds and the scale of scores from the rest."""
     train = [x for i, x in enumerate(sample) if i % 3 != 2]
     rest = [x for i, x in enumerate(sample) if i % 3 == 2]
     toxic, ordinary = [t for t, y in train if y], [t for t, y in train if not y]
     total = sum(counts.values())
     prior = (counts.get(1, 0) + 0.5) / (total + 1)
-    flat = math.log(prior / (1 - prior))
     content = contrast_text(toxic, ordinary) if toxic and ordinary else b""
     plain = ordinary_dictionary(ordinary)
     y = np.array([v for _, v in rest], float)
     if not content or not 0 < y.sum() < len(y):
-        return ToxicityModel(content, plain, 2, (1.0, 1.0, min(flat, -3.0)) if content else (0.0, 0.0, flat))
-    best = (-1.0, 2)
-    for threshold in range(1, 9):
-        got = np.array([Distances(content, plain, threshold).of(t)[1] > 0 for t, _ in rest])
-        best = max(best, (got[y == 1].mean() - got[y == 0].mean(), -threshold))
-    threshold = abs(best[1])
-    d = Distances(content, plain, threshold)
-    f = np.array([d.of(t) for t, _ in rest], float)
-    x = np.column_stack([np.minimum(f[:, 0], 12), np.log1p(np.minimum(f[:, 1], 20)), np.ones(len(f))])
+        weights = np.zeros(2 + len(THRESHOLDS))
+        weights[-1] = math.log(prior / (1 - prior))
+        if content:
+            weights[2], weights[-1] = 4.0, min(weights[-1], -2.0)
+        return ToxicityModel(content, plain, weights)
+    d = Distances(content, plain)
     weight = np.where(y == 1, prior / y.mean(), (1 - prior) / (1 - y.mean()))
-    return ToxicityModel(content, plain, threshold, tuple(_logistic(x, y, weight)))
+    return ToxicityModel(content, plain, _logistic(_evidence([d.of(t) for t, _ in rest]), y, weight))
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", modulus: int = 5, held_out: int = 0, per_class: dict[int, int] | None = None, max_chars: int = 20_000) -> DataFrame:
-    """One row per document: doc_id, held_out, score (0 to 1), predicted (score >= 0.5), largest_distance, toxic_windows.
+    """One row per document: doc_id, held_out, score (0 to 1), predicted (score >= 0.5), largest_distance, toxic_windows
+    (those with a distance of three bytes or more).
 
     Learns only from labelled rows whose crc32(id as text) mod modulus differs from held_out, at most per_class of
-    each class (1500 toxic, 3000 ordinary). The score depends on the text alone: its windows of four words are
+    each class (1500 toxic, 3000 ordinary). The score depends on the text alone: its overlapping windows of twelve words are
     compressed with both dictionaries, all of them, whatever its length. Null and empty texts have no windows and get
     the score of a text without toxic ones; a null id has held_out null. No shuffle of texts.
     """
@@ -171,11 +180,11 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         single_thread()
         m = model.value
-        d = Distances(m.toxic, m.ordinary, m.threshold)
+        d = Distances(m.toxic, m.ordinary)
         for batch in batches:
             found = [d.of(t) for t in batch.column("text").to_pylist()]
             yield pa.record_batch(
-                [batch.column("doc_id"), pa.array([m.score(*x) for x in found], pa.float64()), pa.array([x[0] for x in found], pa.int32()), pa.array([x[1] for x in found], pa.int32())],
+                [batch.column("doc_id"), pa.array(m.scores(found), pa.float64()), pa.array([x[0] for x in found], pa.int32()), pa.array([x[2] for x in found], pa.int32())],
                 ["doc_id", "score", "largest_distance", "toxic_windows"],
             )
 
