@@ -17,7 +17,6 @@ from .common import single_thread, whole
 from .labelled import id_remainder, labelled_sample
 
 WINDOW_WORDS, STRIDE_WORDS = 12, 3
-LEVEL = 7
 #: Distances, in bytes, at which windows are counted; how much each count says is fitted.
 THRESHOLDS = (2, 3, 4, 5, 6, 8)
 SHARED_BYTES = 4
@@ -28,9 +27,13 @@ def _words(text: str) -> list[bytes]:
 
 
 def _compressor(content: bytes):
+    """Greedy matching from four bytes on: a shared word is always referred to, which cheaper literals would hide."""
     import zstandard
 
-    parameters = zstandard.ZstdCompressionParameters.from_level(LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False)
+    parameters = zstandard.ZstdCompressionParameters(
+        window_log=14, hash_log=14, chain_log=14, search_log=7, min_match=SHARED_BYTES, target_length=64,
+        strategy=zstandard.STRATEGY_GREEDY, write_content_size=False, write_checksum=False, write_dict_id=False,
+    )
     data = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     data.precompute_compress(compression_params=parameters)
     return zstandard.ZstdCompressor(dict_data=data, compression_params=parameters)
