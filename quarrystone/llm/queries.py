@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import exact_dedup
 from .exact_dedup import exact_duplicates
+from .mixing import mix
+from .ngram_join import ngram_components
 from .quality import quality_scores
 from .token_counts import token_counts
 from .token_output import token_output
@@ -27,6 +29,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(_documents(spark, sf_dir), weight_cycle=(5, 2, 1), share=1.0)
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_documents(spark, sf_dir))
 
@@ -43,12 +49,16 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_components(_documents(spark, sf_dir), n=4, percent=85)
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_exact_dedup, op4_token_output, op7_token_counts, op8_toxicity, op10_quality)
+    f.__name__: f for f in (op1_source_mix, op3_exact_dedup, op4_token_output, op7_token_counts, op8_toxicity, op9_ngram_join, op10_quality)
 }
 
 ORACLE_SQL: dict[str, str] = {"op3_exact_dedup": exact_dedup.ORACLE_SQL}
