@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import exact_dedup
+from .decontaminate import contaminated
 from .exact_dedup import exact_duplicates
 from .mixing import mix
 from .ngram_join import ngram_components
@@ -34,6 +35,10 @@ def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_documents(spark, sf_dir), weight_cycle=(5, 2, 1), share=1.0)
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_documents(spark, sf_dir))
 
@@ -63,7 +68,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_source_mix, op3_exact_dedup, op4_token_output, op5_personal_data, op7_token_counts, op8_toxicity, op9_ngram_join, op10_quality)
+    f.__name__: f for f in (op1_source_mix, op2_decontaminate, op3_exact_dedup, op4_token_output, op5_personal_data, op7_token_counts, op8_toxicity, op9_ngram_join, op10_quality)
 }
 
 ORACLE_SQL: dict[str, str] = {"op3_exact_dedup": exact_dedup.ORACLE_SQL}
