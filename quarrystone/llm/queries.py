@@ -13,6 +13,7 @@ from .mixing import mix
 from .ngram_join import ngram_components
 from .pii import find_personal_data
 from .quality import quality_scores
+from .secrets import scan_secrets
 from .token_counts import token_counts
 from .token_output import token_output
 from .toxicity import toxicity_scores
@@ -51,6 +52,10 @@ def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(_documents(spark, sf_dir))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(_documents(spark, sf_dir))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_documents(spark, sf_dir), _tokenizer(), limit=512)
 
@@ -68,7 +73,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_source_mix, op2_decontaminate, op3_exact_dedup, op4_token_output, op5_personal_data, op7_token_counts, op8_toxicity, op9_ngram_join, op10_quality)
+    f.__name__: f for f in (op1_source_mix, op2_decontaminate, op3_exact_dedup, op4_token_output, op5_personal_data, op6_secret_scan, op7_token_counts, op8_toxicity, op9_ngram_join, op10_quality)
 }
 
 ORACLE_SQL: dict[str, str] = {"op3_exact_dedup": exact_dedup.ORACLE_SQL}
