@@ -81,28 +81,57 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return found
 
 
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", share: float = 0.5, overlap: float = 0.8) -> DataFrame:
+    """The rows of docs, all columns, that hold no test item: searched and dropped in one pass a part of the benchmark,
+    without a join."""
+    spark, kept = docs.sparkSession, docs
+    for part in _parts(benchmark, item_id, item_text):
+        held = spark.sparkContext.broadcast(part)
+        kept = kept.mapInArrow(_keep(held, share, overlap, text_col), docs.schema)
+    return kept
+
+
+class _Searcher:
+    def __init__(self, items: list[tuple[int, str]], share: float, overlap: float):
+        self.index, self.overlap = Index([t for _, t in items], share), overlap
+        self.parts = [tuple(grams(words_of(x)) for x in question_and_answer(t)) for _, t in items]
+
+    def of(self, text: str) -> list[tuple[int, float, float, float]]:
+        """(place of the item, score, question overlap, answer overlap) of the items that the text holds."""
+        codes = self.index.codes(text)
+        best: dict[int, float] = {}
+        for a, b in self.index.passages(codes):
+            for i, score in self.index.search(codes[a:b]):
+                best[i] = max(best.get(i, 0.0), score)
+        words, shingles, out = words_of(text) if best else [], {}, []
+        for i, score in sorted(best.items()):
+            q = _held(self.parts[i][0], words, shingles)
+            a = _held(self.parts[i][1], words, shingles) if q >= self.overlap else 0.0
+            if q >= self.overlap and a >= self.overlap:
+                out.append((i, score, q, a))
+        return out
+
+
+def _keep(items, share: float, overlap: float, text_col: str):
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        single_thread()
+        searcher = _Searcher(items.value, share, overlap)
+        for batch in batches:
+            yield batch.filter(pa.array([not searcher.of(t or "") for t in batch.column(text_col).to_pylist()], pa.bool_()))
+
+    return keep
+
+
 def _search(items, share: float, overlap: float):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         single_thread()
-        index = Index([t for _, t in items.value], share)
-        parts = [tuple(grams(words_of(x)) for x in question_and_answer(t)) for _, t in items.value]
+        searcher = _Searcher(items.value, share, overlap)
         for batch in batches:
             out = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                codes = index.codes(text)
-                best: dict[int, float] = {}
-                for a, b in index.passages(codes):
-                    for i, score in index.search(codes[a:b]):
-                        best[i] = max(best.get(i, 0.0), score)
-                words = words_of(text) if best else []
-                shingles: dict[int, set] = {}
-                for i, score in sorted(best.items()):
-                    q = _held(parts[i][0], words, shingles)
-                    a = _held(parts[i][1], words, shingles) if q >= overlap else 0.0
-                    if q >= overlap and a >= overlap:
-                        out.append((doc, items.value[i][0], score, q, a))
+                out += [(doc, items.value[i][0], *rest) for i, *rest in searcher.of(text)]
             if out:
-                columns = list(zip(*sorted(set(out), key=str), strict=True))
+                columns = list(zip(*out, strict=True))
                 kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
 

@@ -136,32 +136,20 @@ def _shortest_paths(patterns, names, quota, most) -> list[float]:
 
 
 # --- operator ------------------------------------------------------------------------------------------------------
-def mix(docs: DataFrame, weight_cycle: tuple[float, ...] = (5, 2, 1), weights: dict | None = None, share: float = 1.0, membership: Column | None = None, size: Column | None = None, id_col: str = "doc_id", seed: int = 17, most: int = MAX_REPEATS) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken, copies, sources.
+def _sized(docs: DataFrame, member: Column | None, size: Column | None, id_col: str) -> list[Column]:
+    return [
+        F.col(id_col).cast("long").alias("__doc"),
+        F.array_sort(F.array_distinct(F.array(F.col("source")) if member is None else member)).alias("__sources"),
+        (word_count(F.col("text")) if size is None else size.cast("long")).alias("__size"),
+    ]
 
-    Sources, in code-point order with null last, weigh ``weight_cycle`` repeating unless ``weights`` names them;
-    together they get ``share`` of all words. ``membership`` is an array of sources (default: the column ``source``
-    alone); target and source_size add up over a document's sources. ``taken`` = size * copies is what the mix takes:
-    whole documents, up to ``most`` copies. Null texts have size 0 and nothing to take; repeated rows are documents of
-    their own; an empty table gives no rows. The same rows and seed always give the same mix.
 
-    Only sums by pattern and a few cut points by pattern reach the driver. Texts are read once, to count words; a
-    narrow table of (id, pattern, size) is checkpointed, and only its hash buckets at the cut points are windowed.
-    """
-    spark = docs.sparkSession
-    member = F.array(F.col("source")) if membership is None else membership
-    rows = checkpoint(
-        docs.select(
-            F.col(id_col).cast("long").alias("doc_id"),
-            F.array_sort(F.array_distinct(member)).alias("sources"),
-            (word_count(F.col("text")) if size is None else size.cast("long")).alias("size"),
-        ).withColumn("at", F.monotonically_increasing_id())
-    )
-    sums = rows.groupBy("sources").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(MAX_PATTERNS + 1).collect()
+def _solve(rows: DataFrame, weight_cycle, weights, share: float, most: int) -> DataFrame:
+    """The plan by pattern: key, source_size, target, epochs (whole uses), rest (words beyond them), buckets."""
+    sums = rows.groupBy("__sources").agg(F.sum("__size").alias("size"), F.count("*").alias("n")).limit(MAX_PATTERNS + 1).collect()
     if len(sums) > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} sets of sources")
-    # array_sort puts null last; code points compare as UTF-8 bytes do
-    patterns = [(tuple(r["sources"] or ()), int(r["size"] or 0), int(r["n"])) for r in sums]
+    patterns = [(tuple(r["__sources"] or ()), int(r["size"] or 0), int(r["n"])) for r in sums]
     sizes: dict = defaultdict(int)
     for sources, n, _ in patterns:
         for s in sources:
@@ -170,46 +158,105 @@ def mix(docs: DataFrame, weight_cycle: tuple[float, ...] = (5, 2, 1), weights: d
     weight = {s: float((weights or {}).get(s, weight_cycle[k % len(weight_cycle)])) for k, s in enumerate(order)}
     target = quotas(sizes, weight, share * sum(p[1] for p in patterns), most)
     given = min_cost_flow([p[:2] for p in patterns], target, most)
-
     plan = []
     for (sources, n, count), flow in zip(patterns, given, strict=True):
         epochs = min(most, int(flow // n)) if n else 0
-        plan.append((
-            list(sources), sum(sizes[s] for s in sources), float(sum(target[s] for s in sources)), epochs,
-            0 if epochs >= most else int(round(flow - epochs * n)), max(1, -(-count // BUCKET_ROWS)),
-        ))
-    kind = "sources array<string>, source_size long, target double, epochs int, rest long, buckets int"
-    plan_rows = spark.createDataFrame(plan, kind)
-    # at most MAX_PATTERNS rows, and as many as the driver has just held
-    key = F.to_json(F.struct("sources"))
-    marked = (
-        rows.withColumn("k", key)
-        .join(F.broadcast(plan_rows.withColumn("k", key).drop("sources")), "k")
-        .withColumn("draw", F.xxhash64(F.lit(seed), "doc_id", "size"))
+        rest = 0 if epochs >= most else int(round(flow - epochs * n))
+        plan.append((list(sources), sum(sizes[s] for s in sources), float(sum(target[s] for s in sources)), epochs, rest, max(1, -(-count // BUCKET_ROWS))))
+    kind = "__sources array<string>, source_size long, target double, epochs int, rest long, buckets int"
+    return rows.sparkSession.createDataFrame(plan, kind).withColumn("k", _key()).drop("__sources")
+
+
+def _key() -> Column:
+    return F.to_json(F.struct("__sources"))
+
+
+def _marked(rows: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
+    """Rows with their pattern's plan (at most MAX_PATTERNS rows, broadcast), their draw and their bucket."""
+    return (
+        rows.withColumn("k", _key()).join(F.broadcast(plan), "k")
+        .withColumn("draw", F.xxhash64(F.lit(seed), "__doc", "__size"))
         .withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed + 1), "draw"), F.col("buckets")).cast("int"))
-    )
-    # where the rest runs out: the bucket in which a pattern's running sum passes it
+    )
+
+
+def _cuts(marked: DataFrame) -> DataFrame:
+    """Where the rest runs out: by pattern, the bucket in which the running sum passes it, and the room left there."""
     below = Window.partitionBy("k").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     cuts = (
-        marked.where("rest > 0").groupBy("k", "bucket").agg(F.sum("size").alias("held"), F.first("rest").alias("rest"))
+        marked.where("rest > 0").groupBy("k", "bucket").agg(F.sum("__size").alias("held"), F.first("rest").alias("rest"))
         .withColumn("before", F.coalesce(F.sum("held").over(below), F.lit(0)))
         .where("before < rest AND before + held >= rest")
         .groupBy("k").agg(F.min("bucket").alias("cut"), F.min_by(F.col("rest") - F.col("before"), "bucket").alias("room"))
     )
-    found = spark.createDataFrame(cuts.collect(), cuts.schema)  # one row a pattern
-    marked = marked.join(F.broadcast(found), "k", "left")
-    easy = marked.where("cut IS NULL OR bucket <> cut").withColumn("extra", F.when(F.col("cut").isNull(), (F.col("rest") > 0).cast("int")).otherwise((F.col("bucket") < F.col("cut")).cast("int")))
-    # in the cut bucket: documents in drawn order while they fit, then the one that comes nearest to what is left
-    drawn = Window.partitionBy("k").orderBy("draw", "doc_id", "at")
-    whole_bucket = Window.partitionBy("k")
-    hard = (
+    return marked.sparkSession.createDataFrame(cuts.collect(), cuts.schema)  # one row a pattern
+
+
+def _easy() -> Column:
+    """One use more? Where the bucket alone decides it."""
+    return F.when(F.col("cut").isNull(), (F.col("rest") > 0).cast("int")).otherwise((F.col("bucket") < F.col("cut")).cast("int"))
+
+
+def _hard(marked: DataFrame) -> DataFrame:
+    """In the cut buckets: documents in drawn order while they fit, then the one that comes nearest to what is left."""
+    drawn = Window.partitionBy("k").orderBy("draw", "__doc", "__at").rowsBetween(Window.unboundedPreceding, 0)
+    bucket = Window.partitionBy("k")
+    off = F.abs(F.col("gap") - F.col("__size"))
+    return (
         marked.where("bucket = cut")
-        .withColumn("upto", F.sum("size").over(drawn.rowsBetween(Window.unboundedPreceding, 0)))
+        .withColumn("upto", F.sum("__size").over(drawn))
         .withColumn("fits", F.col("upto") <= F.col("room"))
-        .withColumn("gap", F.col("room") - F.coalesce(F.max(F.when(F.col("fits"), F.col("upto"))).over(whole_bucket), F.lit(0)))
-        .withColumn("miss", F.when(~F.col("fits") & (F.abs(F.col("gap") - F.col("size")) < F.col("gap")), F.struct(F.abs(F.col("gap") - F.col("size")).alias("d"), "draw", "at")))
-        .withColumn("extra", (F.col("fits") | F.coalesce(F.col("miss") == F.min("miss").over(whole_bucket), F.lit(False))).cast("int"))
+        .withColumn("gap", F.col("room") - F.coalesce(F.max(F.when(F.col("fits"), F.col("upto"))).over(bucket), F.lit(0)))
+        .withColumn("miss", F.when(~F.col("fits") & (off < F.col("gap")), F.struct(off.alias("d"), "draw", "__at")))
+        .withColumn("extra", (F.col("fits") | F.coalesce(F.col("miss") == F.min("miss").over(bucket), F.lit(False))).cast("int"))
+    )
+
+
+def _copies(most: int) -> Column:
+    return F.when(F.col("__size") > 0, F.least(F.col("epochs") + F.col("extra"), F.lit(most))).otherwise(0).cast("int")
+
+
+def _decided(docs: DataFrame, weight_cycle, weights, share, membership, size, id_col, seed, most):
+    rows = checkpoint(docs.select(*_sized(docs, membership, size, id_col)).withColumn("__at", F.monotonically_increasing_id()))
+    plan = _solve(rows, weight_cycle, weights, share, most)
+    marked = _marked(rows, plan, seed)
+    cuts = _cuts(marked)
+    return plan, cuts, marked.join(F.broadcast(cuts), "k", "left")
+
+
+def mix(docs: DataFrame, weight_cycle: tuple[float, ...] = (5, 2, 1), weights: dict | None = None, share: float = 1.0, membership: Column | None = None, size: Column | None = None, id_col: str = "doc_id", seed: int = 17, most: int = MAX_REPEATS) -> DataFrame:
+    """One row per document: doc_id, size, source_size, target, taken, copies, sources.
+
+    Sources, in code-point order with null last, weigh ``weight_cycle`` repeating unless ``weights`` names them;
+    together they get ``share`` of all words. ``membership`` is an array of sources (default: the column ``source``
+    alone); target and source_size add up over a document's sources. ``taken`` = size * copies is what the mix takes:
+    whole documents, up to ``most`` copies. Null texts have size 0 and nothing to take; repeated rows are documents of
+    their own; an empty table gives no rows. The same rows and seed always give the same mix.
+
+    Only sums by pattern and a cut point by pattern reach the driver. Texts are read once, to count words; a narrow
+    table of (id, pattern, size) is checkpointed, and only its hash buckets at the cut points are windowed.
+    """
+    _, _, marked = _decided(docs, weight_cycle, weights, share, membership, size, id_col, seed, most)
+    columns = ["__doc", "__size", "source_size", "target", "epochs", "extra", "__sources"]
+    easy = marked.where("cut IS NULL OR bucket <> cut").withColumn("extra", _easy())
+    chosen = easy.select(columns).union(_hard(marked).select(columns)).withColumn("copies", _copies(most))
+    return chosen.select(F.col("__doc").alias("doc_id"), F.col("__size").alias("size"), "source_size", "target", (F.col("__size") * F.col("copies")).alias("taken"), "copies", F.col("__sources").alias("sources"))
+
+
+def mixed_documents(docs: DataFrame, weight_cycle: tuple[float, ...] = (5, 2, 1), weights: dict | None = None, share: float = 1.0, membership: Column | None = None, size: Column | None = None, id_col: str = "doc_id", seed: int = 17, most: int = MAX_REPEATS) -> DataFrame:
+    """The documents themselves, each as many times as the mix takes it, without a shuffle of texts.
+
+    All but the cut buckets follow from the broadcast plan; what the cut buckets decided (about BUCKET_ROWS rows a
+    pattern) is looked up by (id, draw). Rows alike in id and size there share one decision.
+    """
+    plan, cuts, marked = _decided(docs, weight_cycle, weights, share, membership, size, id_col, seed, most)
+    hard = checkpoint(_hard(marked).groupBy(F.col("__doc").alias("__hdoc"), F.col("draw").alias("__hdraw")).agg(F.max("extra").alias("__hard")))
+    few = hard.count() <= 1_000_000
+    again = docs.select(F.struct("*").alias("__row"), *_sized(docs, membership, size, id_col))
+    joined = _marked(again, plan, seed).join(F.broadcast(cuts), "k", "left")
+    same = F.col("__doc").eqNullSafe(F.col("__hdoc")) & (F.col("draw") == F.col("__hdraw"))
+    joined = joined.join(F.broadcast(hard) if few else hard, same, "left").withColumn(
+        "extra", F.when(F.col("bucket") == F.col("cut"), F.coalesce("__hard", F.lit(0))).otherwise(_easy())
     )
-    columns = ["doc_id", "size", "source_size", "target", "epochs", "extra", "sources"]
-    chosen = easy.select(columns).union(hard.select(columns)).withColumn("copies", F.when(F.col("size") > 0, F.least(F.col("epochs") + F.col("extra"), F.lit(most))).otherwise(0).cast("int"))
-    return chosen.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "sources")
+    times = joined.withColumn("__copies", _copies(most)).where(F.col("__copies") > 0)
+    return times.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies"))).select("__row.*")

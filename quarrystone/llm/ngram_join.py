@@ -244,7 +244,9 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     return own.join(reached.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, components: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, components: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The documents whose component is their own id: one of each component (rows with a null id stay)."""
-    gone = components.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    gone = checkpoint(components.where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct())
+    # ids that go are broadcast up to BROADCAST_IDS (16 bytes each), else joined by a shuffle
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    return docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")

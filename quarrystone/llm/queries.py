@@ -22,7 +22,7 @@ from .toxicity import toxicity_scores
 TOKENIZER = "byte_bpe_50k.json"
 
 
-def _tokenizer() -> str:
+def tokenizer_path() -> str:
     import public_tokenizers
 
     return public_tokenizers.path(TOKENIZER)
@@ -45,7 +45,7 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_output(_documents(spark, sf_dir), _tokenizer(), end_id=2)
+    return token_output(_documents(spark, sf_dir), tokenizer_path(), end_id=2)
 
 
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +57,7 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts(_documents(spark, sf_dir), _tokenizer(), limit=512)
+    return token_counts(_documents(spark, sf_dir), tokenizer_path(), limit=512)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -175,9 +175,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     compressed with both dictionaries, all of them, whatever its length. Null and empty texts have no windows and get
     the score of a text without toxic ones; a null id has held_out null. No shuffle of texts.
     """
-    keep = id_remainder(id_col, modulus) != held_out
-    sample, counts = labelled_sample(docs, labels, label, keep, per_class or {1: 1500, 0: 3000}, max_chars, id_col, text_col)
-    model = docs.sparkSession.sparkContext.broadcast(fit_toxicity(sample, counts))
+    model = _fitted(docs, labels, id_col, text_col, label, modulus, held_out, per_class, max_chars)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(F.col(text_col)).alias("text"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,3 +191,24 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
     scored = rows.mapInArrow(score, "doc_id long, score double, largest_distance int, toxic_windows int")
     return scored.select("doc_id", (id_remainder("doc_id", modulus) == held_out).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "largest_distance", "toxic_windows")
+
+
+def _fitted(docs, labels, id_col, text_col, label, modulus, held_out, per_class, max_chars):
+    keep = id_remainder(id_col, modulus) != held_out
+    sample, counts = labelled_sample(docs, labels, label, keep, per_class or {1: 1500, 0: 3000}, max_chars, id_col, text_col)
+    return docs.sparkSession.sparkContext.broadcast(fit_toxicity(sample, counts))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", modulus: int = 5, held_out: int = 0, per_class: dict[int, int] | None = None, max_chars: int = 20_000, cutoff: float = 0.5) -> DataFrame:
+    """The rows of docs, all columns, whose score is below cutoff: scored and dropped in one pass, without a join."""
+    model = _fitted(docs, labels, id_col, text_col, label, modulus, held_out, per_class, max_chars)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        single_thread()
+        m = model.value
+        d = Distances(m.toxic, m.ordinary)
+        for batch in batches:
+            scores = m.scores([d.of(t or "") for t in batch.column(text_col).to_pylist()])
+            yield batch.filter(pa.array(scores < cutoff))
+
+    return docs.mapInArrow(keep, docs.schema)
