@@ -26,8 +26,8 @@ FLUSH = 1 << 20
 #: Documents of a block that one prefix tree holds.
 BLOCK_DOCS = 3_000
 ANCHORS = 16
-#: Documents in blocks up to which their ids (16 bytes each) are broadcast to fetch texts; beyond, a shuffle join.
-BROADCAST_IDS = 1_000_000
+#: Documents in blocks up to which (block, id), 16 bytes each, is broadcast to fetch texts; beyond, a shuffle join.
+BROADCAST_IDS = 250_000
 
 
 def _packed(bucket: int, kind: int, a: np.ndarray, b: np.ndarray):
@@ -185,7 +185,8 @@ def _trees(n: int, percent: int):
 
 
 def _verify(texts: DataFrame, members: DataFrame, n: int, percent: int) -> DataFrame:
-    """members (block string, doc_id) -> verified links (a, b)."""
+    """members (block, doc_id) -> verified links (a, b). Blocks are named by hashes: two that met would only be searched
+    together."""
     if members.count() <= BROADCAST_IDS:
         members = F.broadcast(members)
     got = texts.join(members, "doc_id").select("block", "doc_id", "text")
@@ -213,7 +214,7 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     blocks = checkpoint(blocks)
     sizes = checkpoint(blocks.groupBy("component").count().where("count > 1"))
     large = sizes.where(F.col("count") > block_docs).withColumn("chunks", F.ceil(F.col("count") / block_docs).cast("int"))
-    small = blocks.join(sizes.where(F.col("count") <= block_docs), "component").select(F.col("component").cast("string").alias("block"), "doc_id")
+    small = blocks.join(sizes.where(F.col("count") <= block_docs), "component").select(F.xxhash64("component").alias("block"), "doc_id")
     links = [exact]
     if large.isEmpty():
         links.append(_verify(texts, small, n, percent))
@@ -222,7 +223,7 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
         inside = checkpoint(blocks.join(large, "component").withColumn("h", F.xxhash64("doc_id")).withColumn("chunk", F.pmod("h", "chunks").cast("int")))
         anchor = F.pmod(F.xxhash64("h"), F.ceil(F.col("count") / ANCHORS)) == 0
         spread = inside.withColumn("chunk", F.explode(F.when(anchor, F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array("chunk"))))
-        chunked = spread.select(F.concat_ws(":", "component", "chunk").alias("block"), "doc_id")
+        chunked = spread.select(F.xxhash64("component", "chunk").alias("block"), "doc_id")
         links.append(checkpoint(_verify(texts, small.union(chunked), n, percent)))
         so_far = connected_components(links[1])
         now = checkpoint(inside.join(so_far.select(F.col("node").alias("doc_id"), F.col("component").alias("part")), "doc_id", "left").withColumn("part", F.coalesce("part", "doc_id")))
@@ -234,7 +235,7 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
         pairs = every.withColumn("g", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).select("component", "chunk", "g", "doc_id").union(
             rest.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("component", "chunk", "g", "doc_id")
         )
-        pairs = pairs.select(F.concat_ws(":", "component", "chunk", "g").alias("block"), "doc_id").distinct()
+        pairs = pairs.select(F.xxhash64("component", "chunk", "g").alias("block"), "doc_id").distinct()
         links.append(_verify(texts, checkpoint(pairs), n, percent))
     all_links = links[0]
     for x in links[1:]:

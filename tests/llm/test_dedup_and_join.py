@@ -86,7 +86,11 @@ def test_components_odd(odd, empty, spark):
     assert {tuple(r) for r in got} == {(1, 0, 1), (2, 0, 2)}
 
 
-def test_connected_components(spark):
+@pytest.mark.parametrize("hub", [1000, 3])
+def test_connected_components(spark, monkeypatch, hub):
+    from quarrystone.llm import common
+
+    monkeypatch.setattr(common, "HUB_LINKS", hub)
     edges = [(i, i + 1) for i in range(40)] + [(100, 7), (200, 201), (201, 200), (300, 300), (202, 200)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 0, 200: 200, 201: 200, 202: 200}
