@@ -161,6 +161,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2,
         encode, vocabulary = _encoder(config.value)
         bits = bits_for(max(vocabulary, end_id + 1))
         doc_ids, lengths, ids, held, piece = [], [], [], 0, 0
+        end = np.array([end_id], np.uint32)
 
         def flush():
             name = f"shard-{part:08d}-{piece:04d}.qtk"
@@ -171,11 +172,10 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2,
         for batch in batches:
             for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 got = encode(text)
-                got.append(end_id)
                 doc_ids.append(i)
-                lengths.append(len(got))
-                ids.append(np.array(got, np.uint32))
-                held += len(got)
+                lengths.append(len(got) + 1)
+                ids += (got, end)
+                held += len(got) + 1
                 if held >= SHARD_TOKENS:
                     yield flush()
                     doc_ids, lengths, ids, held, piece = [], [], [], 0, piece + 1
@@ -194,13 +194,13 @@ def _encoder(config: str):
 
     if is_wholetoken_config(config):
         e = encoder(config)
-        return (lambda text: list(e.ids(text))), e.library.get_vocab_size()
+        return e.ids, e.library.get_vocab_size()
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_str(config)
     library.no_truncation()
     library.no_padding()
-    return (lambda text: library.encode(text, add_special_tokens=False).ids), library.get_vocab_size()
+    return (lambda text: np.array(library.encode(text, add_special_tokens=False).ids, np.uint32)), library.get_vocab_size()
 
 
 def read_index(spark: SparkSession, manifest: DataFrame, folder: str) -> DataFrame:

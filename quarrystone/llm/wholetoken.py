@@ -11,6 +11,9 @@ from __future__ import annotations
 
 import functools
 import re
+from array import array
+
+import numpy as np
 
 from .common import single_thread
 
@@ -41,7 +44,7 @@ def _class(points: list[int]) -> str:
 
 
 class WholeToken(dict):
-    """Maps a pre-token to its ids; misses are merged by the library."""
+    """Maps a pre-token to its ids (u32, packed); misses are merged by the library."""
 
     def __init__(self, config: str):
         single_thread()
@@ -84,22 +87,19 @@ class WholeToken(dict):
         special = [re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()]
         return re.compile(pattern), re.compile("|".join([*special, "[\U00010000-\U0010ffff]"]))
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
+    def __missing__(self, piece: str) -> bytes:
         spelled = piece.encode().decode("latin1").translate(self.letters)
         one = self.whole.get(spelled)
-        ids = (one,) if one is not None else tuple(t.id for t in self.model.tokenize(spelled))
+        ids = array("I", [one] if one is not None else [t.id for t in self.model.tokenize(spelled)]).tobytes()
         if len(self) >= REMEMBERED:
             self.clear()
         self[piece] = ids
         return ids
 
-    def ids(self, text: str) -> list[int]:
+    def ids(self, text: str) -> np.ndarray:
         if self.other.search(text):
-            return self.library.encode(text, add_special_tokens=False).ids
-        out: list[int] = []
-        for x in map(self.__getitem__, self.cut.findall(text)):
-            out += x
-        return out
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
+        return np.frombuffer(b"".join(map(self.__getitem__, self.cut.findall(text))), np.uint32)
 
 
 class WholeTokenCounts(WholeToken):
