@@ -82,24 +82,28 @@ def disclosing_terms(docs: DataFrame, texts: DataFrame, share: float = 0.9, leas
     ``least`` distinct contexts of the entity, and its own frequency is the number of documents, of all, that hold it.
     With N documents, IC = ln(N / n(e)) and PMI = ln(n(e,t) N / (n(e) n(t))).
     """
-    around = docs.select(
-        F.explode("spans").alias("s"), "text"
-    ).select(
+    total = texts.count()
+    around = docs.select(F.explode("spans").alias("s"), "text", "at").select(
         _entity(F.col("s.kind"), F.col("s.value")).alias("entity"),
         F.concat_ws(
             " ",
             F.substring("text", F.greatest(F.lit(1), F.col("s.start") + 1 - CONTEXT_CHARS), F.least(F.lit(CONTEXT_CHARS), F.col("s.start"))),
             F.substring("text", F.col("s.end") + 1, F.lit(CONTEXT_CHARS)),
         ).alias("context"),
+        "at",
     )
-    contexts = checkpoint(around.groupBy("entity", F.xxhash64("context").alias("c")).agg(F.first("context").alias("context")))
+    contexts = checkpoint(around.groupBy("entity", F.xxhash64("context").alias("c")).agg(F.first("context").alias("context"), F.min("at").alias("at")))
     entities = contexts.groupBy("entity").agg(F.count("*").alias("ne")).where(F.col("ne") >= least)
-    joint = checkpoint(
-        contexts.join(entities, "entity")
-        .select("entity", "ne", F.explode(F.array_distinct(_words(F.col("context")))).alias("term"))
+    words = F.explode(F.array_distinct(_words(F.col("context")))).alias("term")
+    joint = (
+        contexts.join(entities, "entity").select("entity", "ne", words)
         .groupBy("entity", "term").agg(F.first("ne").alias("ne"), F.count("*").alias("net"))
         .where(F.col("net") >= least)
     )
+    # PMI >= share * IC is nt <= net * (N / ne)^(1 - share); contexts alone show most words to be more frequent
+    most = F.col("net") * F.pow(F.lit(float(total)) / F.col("ne"), F.lit(1 - share)) * (1 + 1e-9)
+    shown = contexts.select("at", words).groupBy("term").agg(F.countDistinct("at").alias("shown"))
+    joint = checkpoint(joint.where(F.col("ne") < total).join(shown, "term").where(F.col("shown") <= most))
     terms = checkpoint(joint.select("term").distinct())
     n_terms = terms.count()
     if not n_terms:
@@ -107,11 +111,7 @@ def disclosing_terms(docs: DataFrame, texts: DataFrame, share: float = 0.9, leas
     # how many of all documents hold each candidate; the candidates' number decides how they reach the scan
     held = texts.select(F.explode(F.array_distinct(_words(F.col("text")))).alias("term"))
     frequency = held.join(F.broadcast(terms) if n_terms <= broadcast_terms else terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("nt"))
-    total = F.lit(texts.count()).cast("double")
-    scored = joint.join(frequency, "term")
-    ic = F.log(total / F.col("ne"))
-    pmi = F.log(F.col("net") * total / (F.col("ne") * F.greatest("nt", "net")))
-    return scored.where((ic > 0) & (pmi >= share * ic)).select("entity", "term")
+    return joint.join(frequency, "term").where(F.greatest("nt", "net") <= most).select("entity", "term")
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = 0.9, least: int = 3) -> DataFrame:
