@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .common import single_thread, whole
 from .labelled import id_remainder, labelled_sample
 
-WINDOW_WORDS, STRIDE_WORDS = 12, 3
+WINDOW_WORDS, STRIDE_WORDS = 8, 2
 #: Distances, in bytes, at which windows are counted; how much each count says is fitted.
 THRESHOLDS = (2, 3, 4, 5, 6, 8)
 SHARED_BYTES = 4
@@ -171,7 +171,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     (those with a distance of three bytes or more).
 
     Learns only from labelled rows whose crc32(id as text) mod modulus differs from held_out, at most per_class of
-    each class (1500 toxic, 3000 ordinary). The score depends on the text alone: its overlapping windows of twelve words are
+    each class (1500 toxic, 3000 ordinary). The score depends on the text alone: its overlapping windows of eight words are
     compressed with both dictionaries, all of them, whatever its length. Null and empty texts have no windows and get
     the score of a text without toxic ones; a null id has held_out null. No shuffle of texts.
     """
