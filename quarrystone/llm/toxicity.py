@@ -19,6 +19,7 @@ from .labelled import id_remainder, labelled_sample
 WINDOW_WORDS, STRIDE_WORDS = 8, 2
 #: Distances, in bytes, at which windows are counted; how much each count says is fitted.
 THRESHOLDS = (2, 3, 4, 5, 6, 8)
+DICTIONARIES = 4
 SHARED_BYTES = 4
 
 
@@ -60,12 +61,12 @@ def contrast_text(toxic: list[str], ordinary: list[str]) -> bytes:
     return b" ".join([b"", *chosen, b""]) if chosen else b""
 
 
-def ordinary_dictionary(ordinary: list[str], size: int = 4096, samples: int = 40_000) -> bytes:
+def ordinary_dictionary(ordinary: list[str], size: int = 4096, samples: int = 40_000, seed: int = 7) -> bytes:
     """A dictionary trained by zstandard on windows of ordinary text; on few texts, their plain content."""
     import zstandard
 
     windows = [w for t in ordinary for w in _windows(_words(t))]
-    random.Random(7).shuffle(windows)
+    random.Random(seed).shuffle(windows)
     try:
         return zstandard.train_dictionary(size, windows[:samples]).as_bytes()
     except zstandard.ZstdError:
@@ -146,7 +147,10 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 0.3) -
 
 
 def fit_toxicity(sample: list[tuple[str, int]], counts: dict[int, int]) -> ToxicityModel:
-    """Dictionaries from two thirds of the sample; the weights of the thresholds and the scale of scores from the rest."""
+    """Weights of the thresholds and the scale of scores from a third of the sample that dictionaries of the other two
+    thirds haven't seen. Words that only the whole sample shows to be toxic are then put before the others, whose
+    places, and so whose distances, stay as they were weighed.
+    """
     train = [x for i, x in enumerate(sample) if i % 3 != 2]
     rest = [x for i, x in enumerate(sample) if i % 3 == 2]
     toxic, ordinary = [t for t, y in train if y], [t for t, y in train if not y]
@@ -161,9 +165,21 @@ def fit_toxicity(sample: list[tuple[str, int]], counts: dict[int, int]) -> Toxic
         if content:
             weights[2], weights[-1] = 4.0, min(weights[-1], -2.0)
         return ToxicityModel(content, plain, weights)
-    d = Distances(content, plain)
     weight = np.where(y == 1, prior / y.mean(), (1 - prior) / (1 - y.mean()))
-    return ToxicityModel(content, plain, _logistic(_evidence([d.of(t) for t, _ in rest]), y, weight))
+    best = (math.inf, plain, np.zeros(0))
+    for seed in range(DICTIONARIES):  # what a dictionary happens to hold shifts distances; the best of a few is kept
+        plain = ordinary_dictionary(ordinary, seed=seed)
+        d = Distances(content, plain)
+        x = _evidence([d.of(t) for t, _ in rest])
+        w = _logistic(x, y, weight)
+        p = np.clip(1 / (1 + np.exp(-np.clip(x @ w, -30, 30))), 1e-6, 1 - 1e-6)
+        loss = -float((weight * (y * np.log(p) + (1 - y) * np.log(1 - p))).sum())
+        if loss < best[0]:
+            best = (loss, plain, w)
+    _, plain, weights = best
+    known = set(content.split())
+    more = [w for w in contrast_text([t for t, v in sample if v], [t for t, v in sample if not v]).split() if w not in known]
+    return ToxicityModel(b"".join(b" " + w for w in more) + content, plain, weights)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", modulus: int = 5, held_out: int = 0, per_class: dict[int, int] | None = None, max_chars: int = 20_000) -> DataFrame:
