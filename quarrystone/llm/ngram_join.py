@@ -26,6 +26,8 @@ FLUSH = 1 << 20
 #: Documents of a block that one prefix tree holds.
 BLOCK_DOCS = 3_000
 ANCHORS = 16
+#: Documents looked at for common n-grams, and how many of those n-grams are broadcast (8 bytes each).
+SAMPLE, MOST_COMMON = 4_000, 300_000
 #: Documents in blocks up to which (block, id), 16 bytes each, is broadcast to fetch texts; beyond, a shuffle join.
 BROADCAST_IDS = 250_000
 
@@ -46,7 +48,32 @@ def _sliced(key: np.ndarray, order: np.ndarray, buckets: int) -> list[tuple[int,
     return [(int(bucket[a]), order[a:b]) for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True)]
 
 
-def _sign(n: int, percent: int, buckets: int):
+def common_hashes(texts: DataFrame, n: int, sample: int = SAMPLE, most: int = MOST_COMMON) -> np.ndarray:
+    """Hashes of n-grams that at least three documents of a sample hold (about ``sample`` documents of at most 20,000
+    characters, by a hash of their id), the most frequent ``most`` of them, sorted. They steer which signatures are
+    made, never which links are found."""
+    from .trie_join import NGrams
+
+    share = max(1, texts.count() // sample)
+    rows = texts.where((F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0) & (F.length("text") <= 20_000)).select("text").limit(2 * sample)
+    grams, seen = NGrams(n), {}
+    sets = []
+    for (text,) in rows.toLocalIterator():
+        h = grams.of(text)
+        key = h.tobytes()
+        if key not in seen:
+            seen[key] = True
+            sets.append(h)
+    if not sets:
+        return np.zeros(0, np.uint64)
+    h, count = np.unique(np.concatenate(sets), return_counts=True)
+    held = h[count >= 3]
+    if len(held) > most:
+        held = held[np.argsort(-count[count >= 3], kind="stable")[:most]]
+    return np.sort(held)
+
+
+def _sign(n: int, percent: int, buckets: int, common):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         single_thread()
         import xxhash
@@ -54,7 +81,7 @@ def _sign(n: int, percent: int, buckets: int):
 
         from .trie_join import NGrams, Signatures
 
-        grams, signatures, home = NGrams(n), Signatures(percent), TaskContext.get().partitionId() % buckets
+        grams, signatures, home = NGrams(n), Signatures(percent, common.value), TaskContext.get().partitionId() % buckets
         first: dict[bytes, int] = {}
         ids, sizes, nulls, held, holders, amount = [], [], [], [], [], 0
         equal, equal_ids, links = [], [], []
@@ -205,7 +232,8 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(F.col(text_col)).alias("text"))
     parts = partitions(spark)
-    dealt = texts.mapInArrow(_sign(n, percent, 4 * parts), "bucket int, kind int, a binary, b binary").repartition(parts, "bucket")
+    common = spark.sparkContext.broadcast(common_hashes(texts, n))
+    dealt = texts.mapInArrow(_sign(n, percent, 4 * parts, common), "bucket int, kind int, a binary, b binary").repartition(parts, "bucket")
     found = checkpoint(dealt.mapInArrow(_match, "kind int, a long, b long"))
     exact = found.where(F.col("kind") == LINKED).select("a", "b")
     near = found.where(F.col("kind").isin(LINKED, NEAR)).select("a", "b")

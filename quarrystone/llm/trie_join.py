@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_right
 from functools import lru_cache
 
@@ -56,15 +57,24 @@ class Signatures:
 
     Sizes fall into classes such that linked sets are in the same class or in neighbouring ones; each set signs for its
     own class and for the next. In a class, linked sets differ in at most H hashes. Classes of small sets sign with
-    prefix tokens: the first n - ceil(t n) + 1 hashes. The others cut the range of hashes into H + 1 + E equal
-    segments, of which at least E + 1 hold the same hashes in both sets; a segment's hash is a signature. Empty
-    segments don't sign unless a set has more than E of them: with E or fewer in common, an equal one that isn't
-    empty remains, and with more, both sets sign the empty ones too. So no link is lost, whatever the sets.
+    prefix tokens: the first n - ceil(t n) + 1 hashes in the order (common, hash). The others cut the range of hashes
+    into H + 1 + E equal segments, of which at least E + 1 hold the same in both sets; a segment's hash is a signature.
+
+    ``common`` are hashes known to be in many sets (lines, passages). A segment that holds nothing else would bring
+    unrelated sets together, so segments are first cut without them; the sets differ in at most H of the others as
+    well. Empty segments don't sign. If two linked sets have at most E empty segments in common, another equal one
+    remains; if more, each has more than E, and such a set signs again, with other segments (ATTEMPTS: without or with
+    the common hashes, and by which hash they are dealt). After the last attempt the empty segments sign too. So no
+    link is lost, whatever the sets and whatever is held to be common.
     """
 
-    def __init__(self, percent: int):
+    ATTEMPTS = ((False, 0), (False, 1), (True, 0), (True, 1), (True, 2), (True, 3), (True, 4))
+
+    def __init__(self, percent: int, common: np.ndarray | None = None):
         self.t = percent
         self.bounds = [1, 2]
+        self.shapes: dict[int, tuple[int, int, int]] = {}
+        self.common = np.zeros(0, np.uint64) if common is None else common
 
     def _class(self, n: int) -> int:
         while self.bounds[-1] <= n:
@@ -72,35 +82,65 @@ class Signatures:
         return bisect_right(self.bounds, n) - 1
 
     def _shape(self, k: int) -> tuple[int, int, int]:
-        """Of class k: its largest size, H and E."""
-        self._class(self.bounds[min(k, len(self.bounds) - 1)])
-        while len(self.bounds) < k + 2:
-            self._class(self.bounds[-1])
-        most = self.bounds[k + 1] - 1
-        h = 2 * most * (100 - self.t) // (100 + self.t)
-        return most, h, max(1, h // 24)
+        """Of class k: its largest size, H, and E: about what three of four of the smallest sets that sign for it
+        need."""
+        if k not in self.shapes:
+            while len(self.bounds) < k + 2:
+                self._class(self.bounds[-1])
+            most, least = self.bounds[k + 1] - 1, self.bounds[max(0, k - 1)]
+            h, spare = 2 * most * (100 - self.t) // (100 + self.t), 1
+            while True:
+                m = h + 1 + spare
+                empty = m * math.exp(-least / m)
+                if spare >= empty + 0.7 * math.sqrt(empty) or spare >= h:
+                    break
+                spare += 1
+            self.shapes[k] = (most, h, spare)
+        return self.shapes[k]
 
     def of(self, h: np.ndarray) -> np.ndarray:
         n, out = len(h), []
+        if len(self.common):
+            at = np.minimum(np.searchsorted(self.common, h), len(self.common) - 1)
+            is_common = self.common[at] == h
+        else:
+            is_common = np.zeros(n, bool)
+        rare = h[~is_common]
+        dealt: dict[tuple[bool, int], np.ndarray] = {(False, 0): rare, (True, 0): h}
         own = self._class(n)
         for k in (own, own + 1):
             most, differ, spare = self._shape(k)
             if differ == 0:
                 continue  # only equal sets are linked
-            salt = [np.uint64((k + 1) * int(m) & 0xFFFFFFFFFFFFFFFF) for m in (M1, M2, M3)]
             if most <= PREFIX_SIZE:
-                out.append(mixed(h[: n - -(-self.t * n // 100) + 1] ^ salt[0]))
+                ordered = np.concatenate([rare, h[is_common]])
+                out.append(mixed(ordered[: n - -(-self.t * n // 100) + 1] ^ self._salt(k, 0)))
                 continue
             m = np.uint64(differ + 1 + spare)
-            segment = ((h >> np.uint64(32)) * m) >> np.uint64(32)
-            starts = np.flatnonzero(np.concatenate([[True], segment[1:] != segment[:-1]]))
-            sums = np.add.reduceat(mixed(h ^ M3), starts)
-            out.append(mixed(sums ^ ((segment[starts] + np.uint64(1)) * M1) ^ salt[1]))
-            if int(m) - len(starts) > spare:
-                empty = np.setdiff1d(np.arange(m, dtype=np.uint64), segment[starts], assume_unique=True)
-                out.append(mixed(((empty + np.uint64(1)) * M2) ^ salt[2]))
+            for j, attempt in enumerate(self.ATTEMPTS, 1):
+                if attempt not in dealt:
+                    dealt[attempt] = np.sort(mixed((h if attempt[0] else rare) ^ (np.uint64(int(M1) * (attempt[1] * 2 + 1) & 0xFFFFFFFFFFFFFFFF))))
+                empty = self._sign(out, dealt[attempt], m, self._salt(k, j))
+                if len(empty) <= spare:
+                    break
+            else:
+                out.append(mixed(((empty + np.uint64(1)) * M2) ^ self._salt(k, 15)))
         return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
+    @staticmethod
+    def _salt(k: int, kind: int) -> np.uint64:
+        return np.uint64((16 * k + kind + 1) * int(M1) & 0xFFFFFFFFFFFFFFFF)
+
+    @staticmethod
+    def _sign(out: list[np.ndarray], h: np.ndarray, m: np.uint64, salt: np.uint64) -> np.ndarray:
+        """Adds the signatures of the segments that aren't empty (h is sorted); returns those that are."""
+        segment = ((h >> np.uint64(32)) * m) >> np.uint64(32)
+        starts = np.flatnonzero(np.concatenate([[True], segment[1:] != segment[:-1]])) if len(h) else np.zeros(0, np.int64)
+        if len(h):
+            sums = np.add.reduceat(mixed(h ^ M3), starts)
+            out.append(mixed(sums ^ ((segment[starts] + np.uint64(1)) * M1) ^ salt))
+        return np.setdiff1d(np.arange(m, dtype=np.uint64), segment[starts], assume_unique=True) if len(starts) < int(m) else np.zeros(0, np.uint64)
+
 
 class Forest:
     """Union-find over 0..n-1."""

@@ -35,8 +35,10 @@ def test_trie_and_signatures_lose_no_link(rows, percent, size):
         return [f.find(i) for i in range(len(made))]
 
     assert components(links) == components(linked_forest(made, percent))
-    signed = [{*Signatures(percent).of(s).tolist(), s.tobytes()} for s in made]
-    assert all(signed[i] & signed[j] for i, j in links)
+    every = np.unique(np.concatenate(made))
+    for common in (None, every[::2], every[::7], every):
+        signed = [{*Signatures(percent, common).of(s).tolist(), s.tobytes()} for s in made]
+        assert all(signed[i] & signed[j] for i, j in links)
 
 
 @given(st.lists(st.integers(0, 2**17 - 1), max_size=300), st.sampled_from([17, 18, 20, 24, 32]))
