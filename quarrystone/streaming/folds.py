@@ -9,17 +9,19 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-OUT, STATE = "user_id long, revision long, label long", "revision long, label long"
+OUT, STATE = "user_id long, revision long, label long", "revision long, label long, last long"
 
 
 def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Each event raises its key's revision by one; the label is the last one's."""
-    revision, label = state.get if state.exists else (0, None)
+    """Each event raises its key's revision by one; the label is that of the largest event id so far, in whatever
+    order batches and frames come."""
+    revision, label, last = state.get if state.exists else (0, None, -1)
     for df in frames:
-        df = df.sort_values("event_id")
         revision += len(df)
-        label = int(df["label"].iloc[-1])
-    state.update((revision, label))
+        newest = df.loc[df["event_id"].idxmax()]
+        if newest["event_id"] > last:
+            label, last = int(newest["label"]), int(newest["event_id"])
+    state.update((revision, label, last))
     yield pd.DataFrame({"user_id": [key[0]], "revision": [revision], "label": [label]})
 
 
