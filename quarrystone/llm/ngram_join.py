@@ -52,25 +52,27 @@ def common_hashes(texts: DataFrame, n: int, sample: int = SAMPLE, most: int = MO
     """Hashes of n-grams that at least three documents of a sample hold (about ``sample`` documents of at most 20,000
     characters, by a hash of their id), the most frequent ``most`` of them, sorted. They steer which signatures are
     made, never which links are found."""
-    from .trie_join import NGrams
-
     share = max(1, texts.count() // sample)
-    rows = texts.where((F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0) & (F.length("text") <= 20_000)).select("text").limit(2 * sample)
-    grams, seen = NGrams(n), {}
-    sets = []
-    for (text,) in rows.toLocalIterator():
-        h = grams.of(text)
-        key = h.tobytes()
-        if key not in seen:
-            seen[key] = True
-            sets.append(h)
-    if not sets:
-        return np.zeros(0, np.uint64)
-    h, count = np.unique(np.concatenate(sets), return_counts=True)
-    held = h[count >= 3]
-    if len(held) > most:
-        held = held[np.argsort(-count[count >= 3], kind="stable")[:most]]
-    return np.sort(held)
+    rows = texts.where((F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0) & (F.length("text") <= 20_000)).select("text")
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        single_thread()
+        grams = ngrams_of(n)
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                h = grams.of(text)
+                if len(h):
+                    yield pa.record_batch([pa.array(h.view(np.int64), pa.int64())], ["h"])
+
+    counted = rows.mapInArrow(hashes, "h long").groupBy("h").count().where("count >= 3")
+    held = counted.orderBy(F.col("count").desc(), "h").limit(most).select("h").toArrow()["h"]
+    return np.sort(held.to_numpy().astype(np.int64).view(np.uint64))
+
+
+def ngrams_of(n: int):
+    from .trie_join import ngrams
+
+    return ngrams(n)
 
 
 def _sign(n: int, percent: int, buckets: int, common):

@@ -93,7 +93,7 @@ class Distances:
 
         class Shares(dict):
             def __missing__(self, word):
-                if len(self) > 500_000:
+                if len(self) > 100_000:
                     self.clear()
                 self[word] = found = any(word[i : i + SHARED_BYTES] in grams for i in range(len(word) - SHARED_BYTES + 1))
                 return found
