@@ -1,4 +1,5 @@
-"""Toxicity by compression distance: two zstandard dictionaries, windows, calibrated thresholds."""
+"""Toxicity by compression distance: an ordinary zstandard dictionary, and the same with what toxic texts add; windows,
+calibrated thresholds."""
 
 from __future__ import annotations
 
@@ -20,19 +21,22 @@ WINDOW_WORDS, STRIDE_WORDS = 8, 2
 #: Distances, in bytes, at which windows are counted; how much each count says is fitted.
 THRESHOLDS = (2, 3, 4, 5, 6, 8)
 DICTIONARIES = 4
-SHARED_BYTES = 4
+#: What a word must have to be told; and what a reference is long at least, to the strongest words and to the others,
+#: which share shorter pieces with ordinary words.
+SHORTEST, SHARED_BYTES = 4, (4, 6)
 
 
 def _words(text: str) -> list[bytes]:
     return text.lower().encode().split()
 
 
-def _compressor(content: bytes):
-    """Greedy matching from four bytes on: a shared word is always referred to, which cheaper literals would hide."""
+def _compressor(content: bytes, shared: int):
+    """Greedy matching from few bytes on: a shared word is always referred to, which cheaper literals would hide."""
     import zstandard
 
+    log = max(14, (2 * len(content)).bit_length())  # all of the content stays within reach
     parameters = zstandard.ZstdCompressionParameters(
-        window_log=14, hash_log=14, chain_log=14, search_log=7, min_match=SHARED_BYTES, target_length=64,
+        window_log=log, hash_log=log, chain_log=log, search_log=7, min_match=shared, target_length=64,
         strategy=zstandard.STRATEGY_GREEDY, write_content_size=False, write_checksum=False, write_dict_id=False,
     )
     data = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -40,9 +44,10 @@ def _compressor(content: bytes):
     return zstandard.ZstdCompressor(dict_data=data, compression_params=parameters)
 
 
-def contrast_text(toxic: list[str], ordinary: list[str]) -> bytes:
-    """What toxic texts say and ordinary ones don't: words whose document rates differ by G-squared >= 24 and at least
-    a fifth of the strongest word's, rarest first (the end of a dictionary is the cheapest to refer to)."""
+def contrast_words(toxic: list[str], ordinary: list[str]) -> tuple[list[bytes], list[bytes]]:
+    """What toxic texts say and ordinary ones don't: words whose document rates differ by G-squared >= 24, rarest first
+    (the end of a dictionary is the cheapest to refer to). Those of at least a fifth of the strongest word's G-squared
+    come first, then the others: each part is weighed by itself, so none hides or blurs the other."""
     a, b = Counter(), Counter()
     for t in toxic:
         a.update(set(_words(t)))
@@ -55,10 +60,15 @@ def contrast_text(toxic: list[str], ordinary: list[str]) -> bytes:
         ex, ey = (x + y) * n / (n + m), (x + y) * m / (n + m)
         return 2 * (x * math.log(x / ex) + (y * math.log(y / ey) if y else 0)) if x > 2 * ex * 0.75 else 0.0
 
-    score = {w: s for w in a if len(w) >= SHARED_BYTES and (s := g2(w)) >= 24}
+    score = {w: s for w in a if len(w) >= SHORTEST and (s := g2(w)) >= 24}
     top = max(score.values(), default=0)
-    chosen = sorted((w for w, s in score.items() if s >= 0.2 * top), key=lambda w: (score[w], w))
-    return b" ".join([b"", *chosen, b""]) if chosen else b""
+    ordered = sorted(score, key=lambda w: (score[w], w))
+    return [w for w in ordered if score[w] >= 0.2 * top], [w for w in ordered if score[w] < 0.2 * top]
+
+
+def _content(words: list[bytes]) -> bytes:
+    """Words between spaces and line ends: windows have no line ends, so no reference runs from a word into the next."""
+    return b"".join(b" " + w + b" \n" for w in words)
 
 
 def ordinary_dictionary(ordinary: list[str], size: int = 4096, samples: int = 40_000, seed: int = 7) -> bytes:
@@ -78,49 +88,57 @@ def _windows(words: list[bytes]) -> list[bytes]:
 
 
 class Distances:
-    """Of a text: the largest (ordinary length - toxic length) of its windows, and how many reach each threshold.
+    """Of a text: the largest (ordinary length - toxic length) of its windows, how many have one of three bytes or more
+    and how many windows there are; then, for each part of the toxic words, the largest and how many reach each threshold.
 
-    The toxic dictionary is the ordinary one with what toxic texts add, so lengths differ by the latter alone.
-    A window none of whose words shares four bytes with that part can't be referred to it; its distance counts as 0
-    without compressing. Which words do is remembered.
+    A toxic dictionary is the ordinary one with a part of what toxic texts add, so lengths differ by the latter alone. A
+    window can refer to it only by a word that, with the spaces beside it, shares enough bytes with that part; without
+    one its distance is 0 and needs no compressing. Which words do is remembered.
     """
 
-    def __init__(self, toxic: bytes, ordinary: bytes):
-        self.empty = not toxic
-        if toxic:
-            self.toxic, self.ordinary = _compressor(ordinary + toxic), _compressor(ordinary)
-        grams = {toxic[i : i + SHARED_BYTES] for i in range(len(toxic) - SHARED_BYTES + 1)}
-
-        class Shares(dict):
-            def __missing__(self, word):
-                if len(self) > 100_000:
-                    self.clear()
-                self[word] = found = any(word[i : i + SHARED_BYTES] in grams for i in range(len(word) - SHARED_BYTES + 1))
-                return found
-
-        self.shares = Shares()
+    def __init__(self, parts: tuple[bytes, ...], ordinary: bytes):
+        self.parts = [(_compressor(ordinary, n), _compressor(ordinary + p, n), _shares(p, n)) if p else None for p, n in zip(parts, SHARED_BYTES, strict=True)]
 
     def of(self, text: str) -> tuple[int, ...]:
-        found = [0] * (1 + len(THRESHOLDS))
-        if self.empty:
-            return tuple(found)
         words = _words(text)
-        starts = set()
-        for i, hit in enumerate(map(self.shares.__getitem__, words)):
-            if hit:
-                starts.update(range(i // STRIDE_WORDS * STRIDE_WORDS, max(-1, i - WINDOW_WORDS), -STRIDE_WORDS))
-        for k in starts:
-            window = b" ".join(words[k : k + WINDOW_WORDS]) + b" "
-            d = len(self.ordinary.compress(window)) - len(self.toxic.compress(window))
-            found[0] = max(found[0], d)
-            for j, t in enumerate(THRESHOLDS, 1):
-                found[j] += d >= t
-        return tuple(found)
+        far: dict[int, int] = {}
+        found: list[int] = []
+        for part in self.parts:
+            counts = [0] * (1 + len(THRESHOLDS))
+            if part:
+                ordinary, toxic, shares = part
+                starts = set()
+                for i, hit in enumerate(map(shares.__getitem__, words)):
+                    if hit:
+                        starts.update(range(i // STRIDE_WORDS * STRIDE_WORDS, max(-1, i - WINDOW_WORDS), -STRIDE_WORDS))
+                for k in starts:
+                    window = b" ".join(words[k : k + WINDOW_WORDS]) + b" "
+                    d = len(ordinary.compress(window)) - len(toxic.compress(window))
+                    far[k] = max(far.get(k, 0), d)
+                    counts[0] = max(counts[0], d)
+                    for j, t in enumerate(THRESHOLDS, 1):
+                        counts[j] += d >= t
+            found += counts
+        return max(far.values(), default=0), sum(d >= 3 for d in far.values()), -(-len(words) // STRIDE_WORDS), *found
+
+
+def _shares(part: bytes, shared: int) -> dict[bytes, bool]:
+    grams = {part[i : i + shared] for i in range(len(part) - shared + 1)}
+
+    class Shares(dict):
+        def __missing__(self, word):
+            if len(self) > 100_000:
+                self.clear()
+            w = b" " + word + b" "
+            self[word] = found = any(w[i : i + shared] in grams for i in range(len(w) - shared + 1))
+            return found
+
+    return Shares()
 
 
 @dataclass
 class ToxicityModel:
-    toxic: bytes
+    toxic: tuple[bytes, bytes]
     ordinary: bytes
     weights: np.ndarray
 
@@ -129,8 +147,13 @@ class ToxicityModel:
 
 
 def _evidence(found: list[tuple[int, ...]]) -> np.ndarray:
-    f = np.array(found, float).reshape(len(found), 1 + len(THRESHOLDS))
-    return np.column_stack([np.minimum(f[:, 0], 16), np.log1p(np.minimum(f[:, 1:], 24)), np.ones(len(f))])
+    """Of each part: the largest distance, and how many windows reach each threshold, by number and by share."""
+    f = np.array(found, float).reshape(len(found), 3 + len(SHARED_BYTES) * (1 + len(THRESHOLDS)))
+    columns, windows = [], np.maximum(f[:, 2:3], 1)
+    for k in range(3, f.shape[1], 1 + len(THRESHOLDS)):
+        reached = f[:, k + 1 : k + 1 + len(THRESHOLDS)]
+        columns += [np.minimum(f[:, k], 16), np.log1p(np.minimum(reached, 24)), 10 * reached / windows]
+    return np.column_stack([*columns, np.ones(len(f))])
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 0.3) -> np.ndarray:
@@ -156,13 +179,14 @@ def fit_toxicity(sample: list[tuple[str, int]], counts: dict[int, int]) -> Toxic
     toxic, ordinary = [t for t, y in train if y], [t for t, y in train if not y]
     total = sum(counts.values())
     prior = (counts.get(1, 0) + 0.5) / (total + 1)
-    content = contrast_text(toxic, ordinary) if toxic and ordinary else b""
+    words = contrast_words(toxic, ordinary) if toxic and ordinary else ([], [])
+    content = tuple(map(_content, words))
     plain = ordinary_dictionary(ordinary)
     y = np.array([v for _, v in rest], float)
-    if not content or not 0 < y.sum() < len(y):
-        weights = np.zeros(2 + len(THRESHOLDS))
+    if not any(content) or not 0 < y.sum() < len(y):
+        weights = np.zeros(len(SHARED_BYTES) * (1 + 2 * len(THRESHOLDS)) + 1)
         weights[-1] = math.log(prior / (1 - prior))
-        if content:
+        if any(content):
             weights[2], weights[-1] = 4.0, min(weights[-1], -2.0)
         return ToxicityModel(content, plain, weights)
     weight = np.where(y == 1, prior / y.mean(), (1 - prior) / (1 - y.mean()))
@@ -177,9 +201,10 @@ def fit_toxicity(sample: list[tuple[str, int]], counts: dict[int, int]) -> Toxic
         if loss < best[0]:
             best = (loss, plain, w)
     _, plain, weights = best
-    known = set(content.split())
-    more = [w for w in contrast_text([t for t, v in sample if v], [t for t, v in sample if not v]).split() if w not in known]
-    return ToxicityModel(b"".join(b" " + w for w in more) + content, plain, weights)
+    known = {w for part in words for w in part}
+    whole_sample = contrast_words([t for t, v in sample if v], [t for t, v in sample if not v])
+    more = (_content([w for w in part if w not in known]) for part in whole_sample)
+    return ToxicityModel(tuple(m + c for m, c in zip(more, content, strict=True)), plain, weights)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", modulus: int = 5, held_out: int = 0, per_class: dict[int, int] | None = None, max_chars: int = 20_000) -> DataFrame:
@@ -187,8 +212,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     (those with a distance of three bytes or more).
 
     Learns only from labelled rows whose crc32(id as text) mod modulus differs from held_out, at most per_class of
-    each class (1500 toxic, 3000 ordinary). The score depends on the text alone: its overlapping windows of eight words are
-    compressed with both dictionaries, all of them, whatever its length. Null and empty texts have no windows and get
+    each class (1500 toxic, 3000 ordinary). The score depends on the text alone: its overlapping windows of eight words,
+    whatever its length, are held against the dictionaries (see Distances). Null and empty texts have no windows and get
     the score of a text without toxic ones; a null id has held_out null. No shuffle of texts.
     """
     model = _fitted(docs, labels, id_col, text_col, label, modulus, held_out, per_class, max_chars)
@@ -201,7 +226,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
         for batch in batches:
             found = [d.of(t) for t in batch.column("text").to_pylist()]
             yield pa.record_batch(
-                [batch.column("doc_id"), pa.array(m.scores(found), pa.float64()), pa.array([x[0] for x in found], pa.int32()), pa.array([x[2] for x in found], pa.int32())],
+                [batch.column("doc_id"), pa.array(m.scores(found), pa.float64()), pa.array([x[0] for x in found], pa.int32()), pa.array([x[1] for x in found], pa.int32())],
                 ["doc_id", "score", "largest_distance", "toxic_windows"],
             )
 
