@@ -79,10 +79,10 @@ def disclosing_terms(docs: DataFrame, texts: DataFrame, share: float = 0.9, leas
 
     docs has (doc_id, at, text, spans) of documents with base spans, texts has every document's text. The unit of an
     entity's evidence is a distinct context (the characters around it), so copies count once; a term must occur in
-    ``least`` distinct contexts of the entity, and its own frequency is the number of documents, of all, that hold it.
-    With N documents, IC = ln(N / n(e)) and PMI = ln(n(e,t) N / (n(e) n(t))).
+    ``least`` distinct contexts of the entity, and its own frequency is the number of distinct texts, of all, that hold it,
+    so that copies don't count against a term either. With N distinct texts, IC = ln(N / n(e)) and PMI = ln(n(e,t) N / (n(e) n(t))).
     """
-    total = texts.count()
+    total = texts.select(F.xxhash64("text").alias("h")).distinct().count()
     around = docs.select(F.explode("spans").alias("s"), "text", "at").select(
         _entity(F.col("s.kind"), F.col("s.value")).alias("entity"),
         F.concat_ws(
@@ -90,9 +90,9 @@ def disclosing_terms(docs: DataFrame, texts: DataFrame, share: float = 0.9, leas
             F.substring("text", F.greatest(F.lit(1), F.col("s.start") + 1 - CONTEXT_CHARS), F.least(F.lit(CONTEXT_CHARS), F.col("s.start"))),
             F.substring("text", F.col("s.end") + 1, F.lit(CONTEXT_CHARS)),
         ).alias("context"),
-        "at",
+        "text",
     )
-    contexts = checkpoint(around.groupBy("entity", F.xxhash64("context").alias("c")).agg(F.first("context").alias("context"), F.min("at").alias("at")))
+    contexts = checkpoint(around.groupBy("entity", F.xxhash64("context").alias("c")).agg(F.first("context").alias("context"), F.min(F.xxhash64("text")).alias("at")))
     entities = contexts.groupBy("entity").agg(F.count("*").alias("ne")).where(F.col("ne") >= least)
     words = F.explode(F.array_distinct(_words(F.col("context")))).alias("term")
     joint = (
@@ -109,8 +109,8 @@ def disclosing_terms(docs: DataFrame, texts: DataFrame, share: float = 0.9, leas
     if not n_terms:
         return joint.select("entity", "term")
     # how many of all documents hold each candidate; the candidates' number decides how they reach the scan
-    held = texts.select(F.explode(F.array_distinct(_words(F.col("text")))).alias("term"))
-    frequency = held.join(F.broadcast(terms) if n_terms <= broadcast_terms else terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("nt"))
+    held = texts.select(F.xxhash64("text").alias("h"), F.explode(F.array_distinct(_words(F.col("text")))).alias("term"))
+    frequency = held.join(F.broadcast(terms) if n_terms <= broadcast_terms else terms, "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("nt"))
     return joint.join(frequency, "term").where(F.greatest("nt", "net") <= most).select("entity", "term")
 
 
