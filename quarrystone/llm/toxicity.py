@@ -1,11 +1,11 @@
-"""Toxicity by compression distance: an ordinary zstandard dictionary, and the same with what toxic texts add; windows,
-calibrated thresholds."""
+"""Toxicity by compression distance: zstandard dictionaries trained on ordinary and on toxic text; windows, calibrated
+thresholds."""
 
 from __future__ import annotations
 
 import math
+import pickle
 import random
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,130 +15,167 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import single_thread, whole
-from .labelled import id_remainder, labelled_sample
+from .labelled import id_remainder, labelled_rows
 
-WINDOW_WORDS, STRIDE_WORDS = 8, 2
+WINDOW_WORDS = 6
 #: Distances, in bytes, at which windows are counted; how much each count says is fitted.
-THRESHOLDS = (2, 3, 4, 5, 6, 8)
-DICTIONARIES = 4
-#: What a word must have to be told; and what a reference is long at least, to the strongest words and to the others,
-#: which share shorter pieces with ordinary words.
-SHORTEST, SHARED_BYTES = 4, (4, 6)
+THRESHOLDS = (1, 2, 3, 4, 5, 6, 8, 10)
+#: Bytes of the two dictionaries at most, and of the segments that training picks; windows that train the ordinary one.
+ORDINARY_BYTES, TOXIC_BYTES, SEGMENT, ORDINARY_WINDOWS = 8192, 4096, 16, 60_000
+#: Bytes of a piece of a word, how much evidence makes it telling (G-squared), and how many times as often it must stand
+#: in toxic texts.
+PIECE, EVIDENCE, TIMES = 7, 24.0, 2.0
+#: Shortest reference into a dictionary, and shortest sample that training takes.
+REFERENCE, SHORTEST = 6, 8
+FOLDS = 3
 
 
 def _words(text: str) -> list[bytes]:
     return text.lower().encode().split()
 
 
-def _compressor(content: bytes, shared: int):
-    """Greedy matching from few bytes on: a shared word is always referred to, which cheaper literals would hide."""
-    import zstandard
+def windows(text: str) -> list[bytes]:
+    """All words of the text, six at a time, each once."""
+    words = _words(text)
+    return [b" " + b" ".join(words[i : i + WINDOW_WORDS]) + b" " for i in range(0, len(words), WINDOW_WORDS)]
 
-    log = max(14, (2 * len(content)).bit_length())  # all of the content stays within reach
-    parameters = zstandard.ZstdCompressionParameters(
-        window_log=log, hash_log=log, chain_log=log, search_log=7, min_match=shared, target_length=64,
-        strategy=zstandard.STRATEGY_GREEDY, write_content_size=False, write_checksum=False, write_dict_id=False,
-    )
-    data = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    data.precompute_compress(compression_params=parameters)
-    return zstandard.ZstdCompressor(dict_data=data, compression_params=parameters)
 
+# --- the sample ----------------------------------------------------------------------------------------------------
+def without_copies(sample: list[tuple[str, int]]) -> list[tuple[str, int]]:
+    """Of exact and near copies the first stays (texts that share one of six minimum hashes of five-word shingles):
+    a text copied many times is one piece of evidence."""
+    import xxhash
 
-def contrast_words(toxic: list[str], ordinary: list[str]) -> tuple[list[bytes], list[bytes]]:
-    """What toxic texts say and ordinary ones don't: words whose document rates differ by G-squared >= 24, rarest first
-    (the end of a dictionary is the cheapest to refer to). Those of at least a fifth of the strongest word's G-squared
-    come first, then the others: each part is weighed by itself, so none hides or blurs the other."""
-    a, b = Counter(), Counter()
-    for t in toxic:
-        a.update(set(_words(t)))
-    for t in ordinary:
-        b.update(set(_words(t)))
-    n, m = len(toxic), len(ordinary)
+    odd = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)  # fixed values: odd multipliers
+    seen: set[tuple[int, int]] = set()
+    kept = []
+    for text, y in sample:
+        words = _words(text)
+        n = min(5, len(words))
+        h = np.array([xxhash.xxh3_64_intdigest(b" ".join(words[i : i + n])) for i in range(len(words) - n + 1)] if n else [0], np.uint64)
+        marks = list(enumerate((h[None, :] * odd[:, None]).min(axis=1).tolist()))
+        if not any(m in seen for m in marks):
+            kept.append((text, y))
+        seen.update(marks)
+    return kept
+
+
+class Pieces:
+    """The pieces of words (seven bytes, with the blanks beside the word) that each text of a sample holds, by number."""
+
+    def __init__(self, texts: list[str]):
+        self.numbers: dict[bytes, int] = {}
+        of_word: dict[bytes, np.ndarray] = {}
+        self.held = []
+        for text in texts:
+            found = []
+            for w in set(_words(text)):
+                if w not in of_word:
+                    of_word[w] = np.array([self.numbers.setdefault(p, len(self.numbers)) for p in {b for _, b in pieces(w)}], np.int64)
+                found.append(of_word[w])
+            self.held.append(np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64))
+        self.names = list(self.numbers)
+
+    def telling(self, rows: np.ndarray, toxic: np.ndarray) -> set[bytes]:
+        """Pieces that toxic texts among ``rows`` hold TIMES as often as ordinary ones, with a G-squared of EVIDENCE."""
+        count = lambda which: np.bincount(np.concatenate([self.held[i] for i in which] or [np.zeros(0, np.int64)]), minlength=len(self.names))
+        a, b = rows[toxic[rows]], rows[~toxic[rows]]
+        n, m, x, y = len(a), len(b), count(a).astype(float), count(b).astype(float)
+        if not n or not m:
+            return set()
+        with np.errstate(divide="ignore", invalid="ignore"):
+            g = 2 * (x * np.log(x / ((x + y) * n / (n + m))) + np.where(y > 0, y * np.log(y / ((x + y) * m / (n + m))), 0))
+        return {self.names[i] for i in np.flatnonzero((x / n > TIMES * y / m) & (x > 0) & (g >= EVIDENCE))}
+
+
+def pieces(word: bytes) -> list[tuple[int, bytes]]:
+    w = b" " + word + b" "
+    return [(i, w[i : i + PIECE]) for i in range(max(1, len(w) - PIECE + 1))]
+
+
+# --- dictionaries --------------------------------------------------------------------------------------------------
+def _trained(samples: list[bytes], size: int, seed: int) -> bytes:
+    """What zstandard trains on the samples, of at most size bytes; if they are too few for it, their plain content."""
+    import zstandard
 
-    def g2(w: bytes) -> float:
-        x, y = a[w], b[w]
-        ex, ey = (x + y) * n / (n + m), (x + y) * m / (n + m)
-        return 2 * (x * math.log(x / ex) + (y * math.log(y / ey) if y else 0)) if x > 2 * ex * 0.75 else 0.0
+    samples = list(samples)
+    random.Random(seed).shuffle(samples)
+    while size >= 256:
+        try:
+            return zstandard.train_dictionary(size, samples, k=SEGMENT, d=6).as_bytes()
+        except zstandard.ZstdError:
+            size //= 2
+    return b"".join(sorted(set(samples)))[:TOXIC_BYTES]
 
-    score = {w: s for w in a if len(w) >= SHORTEST and (s := g2(w)) >= 24}
-    top = max(score.values(), default=0)
-    ordered = sorted(score, key=lambda w: (score[w], w))
-    return [w for w in ordered if score[w] >= 0.2 * top], [w for w in ordered if score[w] < 0.2 * top]
 
+def ordinary_dictionary(texts: list[str], seed: int = 7) -> bytes:
+    """Trained on windows of ordinary texts."""
+    every = [w for t in texts for w in windows(t)]
+    random.Random(seed).shuffle(every)
+    return _trained(every[:ORDINARY_WINDOWS], ORDINARY_BYTES, seed) or b" the and of "
 
-def _content(words: list[bytes]) -> bytes:
-    """Words between spaces and line ends: windows have no line ends, so no reference runs from a word into the next."""
-    return b"".join(b" " + w + b" \n" for w in words)
 
+def toxic_dictionary(texts: list[str], telling: set[bytes], seed: int = 7) -> bytes:
+    """Trained on toxic texts: on every stretch of their words that telling pieces cover, as often as it stands there.
 
-def ordinary_dictionary(ordinary: list[str], size: int = 4096, samples: int = 40_000, seed: int = 7) -> bytes:
-    """A dictionary trained by zstandard on windows of ordinary text; on few texts, their plain content."""
+    Training keeps what is frequent, and most of a toxic text is ordinary words; without the choice of stretches they
+    would fill the dictionary.
+    """
+    of_word: dict[bytes, bytes | None] = {}
+    samples = []
+    for text in texts:
+        for w in _words(text):
+            if w not in of_word:
+                at = [i for i, p in pieces(w) if p in telling]
+                padded = b" " + w + b" "
+                of_word[w] = padded[at[0] : at[-1] + PIECE].ljust(SHORTEST, b"\n") if at else None
+            if of_word[w]:
+                samples.append(of_word[w])
+    return _trained(samples, TOXIC_BYTES, seed) if samples else b""
+
+
+def _compressor(content: bytes):
+    """Greedy matching from six bytes on, so that a shared stretch is always referred to."""
     import zstandard
 
-    windows = [w for t in ordinary for w in _windows(_words(t))]
-    random.Random(seed).shuffle(windows)
-    try:
-        return zstandard.train_dictionary(size, windows[:samples]).as_bytes()
-    except zstandard.ZstdError:
-        return b"".join(windows)[-size:] or b"the and of "
-
-
-def _windows(words: list[bytes]) -> list[bytes]:
-    return [b" ".join(words[i : i + WINDOW_WORDS]) + b" " for i in range(0, len(words), STRIDE_WORDS)]
+    log = max(14, (2 * len(content)).bit_length())  # all of the content stays within reach
+    parameters = zstandard.ZstdCompressionParameters(
+        window_log=log, hash_log=log, chain_log=log, search_log=6, min_match=REFERENCE, target_length=64,
+        strategy=zstandard.STRATEGY_GREEDY, write_content_size=False, write_checksum=False, write_dict_id=False,
+    )
+    data = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    data.precompute_compress(compression_params=parameters)
+    return zstandard.ZstdCompressor(dict_data=data, compression_params=parameters).compress
 
 
 class Distances:
-    """Of a text: the largest (ordinary length - toxic length) of its windows, how many have one of three bytes or more
-    and how many windows there are; then, for each part of the toxic words, the largest and how many reach each threshold.
+    """Of a text: the largest (ordinary length - toxic length) of its windows, how many windows there are, and how many
+    reach each threshold. Every window is compressed twice.
 
-    A toxic dictionary is the ordinary one with a part of what toxic texts add, so lengths differ by the latter alone. A
-    window can refer to it only by a word that, with the spaces beside it, shares enough bytes with that part; without
-    one its distance is 0 and needs no compressing. Which words do is remembered.
+    The toxic side has the toxic dictionary before the ordinary one, so that references to ordinary stretches cost the
+    same on both sides and lengths differ by what the toxic dictionary adds.
     """
 
-    def __init__(self, parts: tuple[bytes, ...], ordinary: bytes):
-        self.parts = [(_compressor(ordinary, n), _compressor(ordinary + p, n), _shares(p, n)) if p else None for p, n in zip(parts, SHARED_BYTES, strict=True)]
+    def __init__(self, toxic: bytes, ordinary: bytes):
+        self.ordinary, self.toxic = _compressor(ordinary), _compressor(toxic + ordinary)
 
     def of(self, text: str) -> tuple[int, ...]:
-        words = _words(text)
-        far: dict[int, int] = {}
-        found: list[int] = []
-        for part in self.parts:
-            counts = [0] * (1 + len(THRESHOLDS))
-            if part:
-                ordinary, toxic, shares = part
-                starts = set()
-                for i, hit in enumerate(map(shares.__getitem__, words)):
-                    if hit:
-                        starts.update(range(i // STRIDE_WORDS * STRIDE_WORDS, max(-1, i - WINDOW_WORDS), -STRIDE_WORDS))
-                for k in starts:
-                    window = b" ".join(words[k : k + WINDOW_WORDS]) + b" "
-                    d = len(ordinary.compress(window)) - len(toxic.compress(window))
-                    far[k] = max(far.get(k, 0), d)
-                    counts[0] = max(counts[0], d)
-                    for j, t in enumerate(THRESHOLDS, 1):
-                        counts[j] += d >= t
-            found += counts
-        return max(far.values(), default=0), sum(d >= 3 for d in far.values()), -(-len(words) // STRIDE_WORDS), *found
-
-
-def _shares(part: bytes, shared: int) -> dict[bytes, bool]:
-    grams = {part[i : i + shared] for i in range(len(part) - shared + 1)}
-
-    class Shares(dict):
-        def __missing__(self, word):
-            if len(self) > 100_000:
-                self.clear()
-            w = b" " + word + b" "
-            self[word] = found = any(w[i : i + shared] in grams for i in range(len(w) - shared + 1))
-            return found
-
-    return Shares()
-
-
+        ordinary, toxic = self.ordinary, self.toxic
+        far = [len(ordinary(w)) - len(toxic(w)) for w in windows(text)]
+        counts = [0] * (len(THRESHOLDS))
+        for d in far:
+            if d > 0:
+                for j, t in enumerate(THRESHOLDS):
+                    if d < t:
+                        break
+                    counts[j] += 1
+        return max(0, *far) if far else 0, len(far), *counts
+
+
+# --- model ---------------------------------------------------------------------------------------------------------
 @dataclass
 class ToxicityModel:
-    toxic: tuple[bytes, bytes]
+    toxic: bytes
     ordinary: bytes
     weights: np.ndarray
 
@@ -147,13 +184,10 @@ class ToxicityModel:
 
 
 def _evidence(found: list[tuple[int, ...]]) -> np.ndarray:
-    """Of each part: the largest distance, and how many windows reach each threshold, by number and by share."""
-    f = np.array(found, float).reshape(len(found), 3 + len(SHARED_BYTES) * (1 + len(THRESHOLDS)))
-    columns, windows = [], np.maximum(f[:, 2:3], 1)
-    for k in range(3, f.shape[1], 1 + len(THRESHOLDS)):
-        reached = f[:, k + 1 : k + 1 + len(THRESHOLDS)]
-        columns += [np.minimum(f[:, k], 16), np.log1p(np.minimum(reached, 24)), 10 * reached / windows]
-    return np.column_stack([*columns, np.ones(len(f))])
+    """The largest distance, and how many windows reach each threshold, by number and by share; the last column is 1."""
+    f = np.array(found, float).reshape(len(found), 2 + len(THRESHOLDS))
+    reached = f[:, 2:]
+    return np.column_stack([np.minimum(f[:, 0], 16), np.log1p(np.minimum(reached, 24)), 10 * reached / np.maximum(f[:, 1:2], 1), np.ones(len(f))])
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 0.3) -> np.ndarray:
@@ -170,54 +204,54 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 0.3) -
 
 
 def fit_toxicity(sample: list[tuple[str, int]], counts: dict[int, int]) -> ToxicityModel:
-    """Weights of the thresholds and the scale of scores from a third of the sample that dictionaries of the other two
-    thirds haven't seen. Words that only the whole sample shows to be toxic are then put before the others, whose
-    places, and so whose distances, stay as they were weighed.
-    """
-    train = [x for i, x in enumerate(sample) if i % 3 != 2]
-    rest = [x for i, x in enumerate(sample) if i % 3 == 2]
-    toxic, ordinary = [t for t, y in train if y], [t for t, y in train if not y]
+    """Dictionaries from the whole sample (copies count once); the thresholds' weights from distances of each third of
+    it to dictionaries of the other two, so that no text is weighed by a toxic dictionary that saw it. ``counts``, the
+    labels of each class in all, set the scale of scores. Without telling pieces every score is the prior."""
     total = sum(counts.values())
     prior = (counts.get(1, 0) + 0.5) / (total + 1)
-    words = contrast_words(toxic, ordinary) if toxic and ordinary else ([], [])
-    content = tuple(map(_content, words))
-    plain = ordinary_dictionary(ordinary)
-    y = np.array([v for _, v in rest], float)
-    if not any(content) or not 0 < y.sum() < len(y):
-        weights = np.zeros(len(SHARED_BYTES) * (1 + 2 * len(THRESHOLDS)) + 1)
-        weights[-1] = math.log(prior / (1 - prior))
-        if any(content):
-            weights[2], weights[-1] = 4.0, min(weights[-1], -2.0)
-        return ToxicityModel(content, plain, weights)
+    sample = without_copies(sample)
+    texts, toxic = [t for t, _ in sample], np.array([y == 1 for _, y in sample], bool)
+    held, fold = Pieces(texts), np.arange(len(sample)) % FOLDS
+    ordinary = ordinary_dictionary([t for t, y in sample if not y])
+    flat = np.zeros(2 + 2 * len(THRESHOLDS))
+    flat[-1] = math.log(prior / (1 - prior))
+
+    def dictionary(rows: np.ndarray) -> bytes:
+        return toxic_dictionary([texts[i] for i in rows if toxic[i]], held.telling(rows, toxic))
+
+    all_rows = np.arange(len(sample))
+    final = dictionary(all_rows)
+    if not final:
+        return ToxicityModel(b"", ordinary, flat)
+    rows, found = [], []
+    for k in range(FOLDS):
+        seen = dictionary(all_rows[fold != k])
+        if seen:
+            d = Distances(seen, ordinary)
+            rows += all_rows[fold == k].tolist()
+            found += [d.of(texts[i]) for i in all_rows[fold == k]]
+    y = toxic[rows].astype(float)
+    if not 0 < y.sum() < len(y):  # too few to weigh: one far window is toxic
+        flat[0], flat[-1] = 0.75, min(flat[-1], -3.0)
+        return ToxicityModel(final, ordinary, flat)
     weight = np.where(y == 1, prior / y.mean(), (1 - prior) / (1 - y.mean()))
-    best = (math.inf, plain, np.zeros(0))
-    for seed in range(DICTIONARIES):  # what a dictionary happens to hold shifts distances; the best of a few is kept
-        plain = ordinary_dictionary(ordinary, seed=seed)
-        d = Distances(content, plain)
-        x = _evidence([d.of(t) for t, _ in rest])
-        w = _logistic(x, y, weight)
-        p = np.clip(1 / (1 + np.exp(-np.clip(x @ w, -30, 30))), 1e-6, 1 - 1e-6)
-        loss = -float((weight * (y * np.log(p) + (1 - y) * np.log(1 - p))).sum())
-        if loss < best[0]:
-            best = (loss, plain, w)
-    _, plain, weights = best
-    known = {w for part in words for w in part}
-    whole_sample = contrast_words([t for t, v in sample if v], [t for t, v in sample if not v])
-    more = (_content([w for w in part if w not in known]) for part in whole_sample)
-    return ToxicityModel(tuple(m + c for m, c in zip(more, content, strict=True)), plain, weights)
+    return ToxicityModel(final, ordinary, _logistic(_evidence(found), y, weight))
 
 
+# --- operator ------------------------------------------------------------------------------------------------------
 def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", modulus: int = 5, held_out: int = 0, per_class: dict[int, int] | None = None, max_chars: int = 20_000) -> DataFrame:
     """One row per document: doc_id, held_out, score (0 to 1), predicted (score >= 0.5), largest_distance, toxic_windows
     (those with a distance of three bytes or more).
 
     Learns only from labelled rows whose crc32(id as text) mod modulus differs from held_out, at most per_class of
-    each class (1500 toxic, 3000 ordinary). The score depends on the text alone: its overlapping windows of eight words,
-    whatever its length, are held against the dictionaries (see Distances). Null and empty texts have no windows and get
-    the score of a text without toxic ones; a null id has held_out null. No shuffle of texts.
+    each class (1500 toxic, 3000 ordinary). The score depends on the text alone: its windows of six words, all of them,
+    whatever its length, are compressed with both dictionaries. Null and empty texts have no windows and get the score
+    of a text without toxic ones; rows that repeat get the same score each; a null id has held_out null; an empty table
+    gives no rows. No shuffle of texts but those of the sample.
     """
     model = _fitted(docs, labels, id_col, text_col, label, modulus, held_out, per_class, max_chars)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(F.col(text_col)).alias("text"))
+    three = 2 + THRESHOLDS.index(3)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         single_thread()
@@ -226,7 +260,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
         for batch in batches:
             found = [d.of(t) for t in batch.column("text").to_pylist()]
             yield pa.record_batch(
-                [batch.column("doc_id"), pa.array(m.scores(found), pa.float64()), pa.array([x[0] for x in found], pa.int32()), pa.array([x[1] for x in found], pa.int32())],
+                [batch.column("doc_id"), pa.array(m.scores(found), pa.float64()), pa.array([x[0] for x in found], pa.int32()), pa.array([x[three] for x in found], pa.int32())],
                 ["doc_id", "score", "largest_distance", "toxic_windows"],
             )
 
@@ -235,9 +269,24 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
 
 def _fitted(docs, labels, id_col, text_col, label, modulus, held_out, per_class, max_chars):
+    """The model, broadcast. It is fitted in one task from the bounded sample, so the driver holds the model alone."""
     keep = id_remainder(id_col, modulus) != held_out
-    sample, counts = labelled_sample(docs, labels, label, keep, per_class or {1: 1500, 0: 3000}, max_chars, id_col, text_col)
-    return docs.sparkSession.sparkContext.broadcast(fit_toxicity(sample, counts))
+    sample, counts = labelled_rows(docs, labels, label, keep, per_class or {1: 1500, 0: 3000}, max_chars, id_col, text_col)
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        single_thread()
+        once = {}
+        for batch in batches:
+            for i, t, y in zip(*(batch.column(c).to_pylist() for c in ("__id", "__t", "__y")), strict=True):
+                once[i] = max(once.get(i, ("", 0)), (t, y))
+        model = fit_toxicity([once[i] for i in sorted(once)], counts)
+        yield pa.record_batch([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    spark = docs.sparkSession
+    if sample is None:
+        return spark.sparkContext.broadcast(fit_toxicity([], counts))
+    made = sample.repartition(1).mapInArrow(fit, "model binary").first()
+    return spark.sparkContext.broadcast(pickle.loads(bytes(made["model"])) if made else fit_toxicity([], counts))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", modulus: int = 5, held_out: int = 0, per_class: dict[int, int] | None = None, max_chars: int = 20_000, cutoff: float = 0.5) -> DataFrame:
