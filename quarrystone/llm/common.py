@@ -67,35 +67,30 @@ def single_thread() -> None:
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(a, b) of long -> (node, component): the smallest node that links reach. Nodes without links are left out.
 
-    Alternating large-star and small-star rounds: each round is two aggregations over at most as many edges as
-    before, every round is checkpointed, and no adjacency list is ever gathered (the minimum of a neighbourhood is an
-    ordinary partially aggregated min), so a hub that links a third of all rows does not land in one task.
+    Alternating large-star and small-star rounds: each round is a few aggregations over at most as many edges as
+    before and is checkpointed once, and no adjacency list is ever gathered (the minimum of a neighbourhood is an
+    ordinary partially aggregated min), so a hub that links a third of all rows does not land in one task: hubs' minima
+    are broadcast and their links stay where they lie.
     """
     pairs = checkpoint(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     last = None
     for _ in range(max_rounds):
+        # settled when a round changes nothing
+        state = pairs.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u") % 1000003)).first()
+        if state == last:
+            break
+        last = state
         # large star: the larger neighbours of each node go to the least of its neighbourhood
         both = pairs.select(F.col("u").alias("x"), F.col("v").alias("y")).union(pairs.select(F.col("v").alias("x"), F.col("u").alias("y")))
-        least = checkpoint(both.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("m"), F.count("*").alias("n")))
-        total = least.agg(F.sum("n")).first()[0] or 0
-        hub = F.col("n") >= max(HUB_LINKS, total // MOST_HUBS)  # so at most MOST_HUBS hubs
-        larger, hubs = both.where("y > x"), least.where(hub).select("x", "m")
-        if hubs.isEmpty():
-            joined = larger.join(least, "x")
-        else:  # a hub's links stay where they lie, the others are dealt by node
-            hubs = F.broadcast(hubs)
-            rest = larger.join(hubs.select("x"), "x", "left_anti").join(least.where(~hub).select("x", "m"), "x")
-            joined = larger.join(hubs, "x").select("x", "y", "m").union(rest.select("x", "y", "m"))
-        large = joined.select(F.col("y").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("m"), F.count("*").alias("n"))
+        hub = F.col("n") >= max(HUB_LINKS, 2 * state[0] // MOST_HUBS)  # so at most MOST_HUBS hubs
+        larger, hubs = both.where("y > x"), F.broadcast(least.where(hub).select("x", "m"))
+        rest = larger.join(hubs, "x", "left_anti").join(least.where(~hub).select("x", "m"), "x")
+        large = larger.join(hubs, "x").select("x", "y", "m").union(rest.select("x", "y", "m")).select(F.col("y").alias("u"), F.col("m").alias("v"))
         # small star: the smaller neighbours of each node, and the node, go to the least of them
         small_least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(small_least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(small_least.select("u", F.col("m").alias("v")))
         pairs = checkpoint(small.distinct())
-        # settled when a round changes nothing
-        state = pairs.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u") % 1000003)).first()
-        if state == last:
-            break
-        last = state
     else:
         raise RuntimeError("links did not settle")
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).union(pairs.select(F.col("v"), F.col("v"))).distinct()

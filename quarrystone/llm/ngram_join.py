@@ -5,9 +5,12 @@
 2. Each range finds its repeated signatures: candidate edges from the first holder, and exact edges between equal sets
    (by a 128-bit hash). Nothing is emitted for pairs within a group, only edges to its first member.
 3. Components of the edges are blocks: linked sets share a signature, so they are in one block. The sets of a block go
-   through one prefix tree, which gives verified links that join all its components. Blocks too large for a task are
-   cut into chunks; what the chunks leave outside the block's largest component is then held against all chunks.
-4. Components of the verified links are the answer.
+   through one prefix tree, which gives verified links that join all its components. Blocks of more n-grams than one
+   tree may hold are cut into chunks.
+4. Where chunks leave a block in several parts, only documents of different parts that share a signature can still be
+   linked: each signature's holders, if they are of several parts, are a block of their own. Only such a block that is
+   itself too large is dealt chunk by chunk against what lies outside its largest part.
+5. Components of the verified links are the answer.
 """
 
 from __future__ import annotations
@@ -23,8 +26,8 @@ from .common import checkpoint, connected_components, partitions, single_thread,
 
 SIGNED, EQUAL, SIZES, LINKED, NEAR = range(5)
 FLUSH = 1 << 20
-#: Documents of a block that one prefix tree holds.
-BLOCK_DOCS = 3_000
+#: N-grams of a block that one prefix tree holds (one document may have more), and documents that all chunks share.
+BLOCK_GRAMS = 1 << 17
 ANCHORS = 16
 #: Documents looked at for common n-grams, and how many of those n-grams are broadcast (8 bytes each).
 SAMPLE, MOST_COMMON = 4_000, 300_000
@@ -43,11 +46,30 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def _sliced(key: np.ndarray, order: np.ndarray, buckets: int) -> list[tuple[int, np.ndarray]]:
     """Positions by bucket; key is sorted by order, and buckets are equal ranges of it."""
+    if not len(order):
+        return []
     bucket = ((key[order] >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
     cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
     return [(int(bucket[a]), order[a:b]) for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True)]
 
 
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that join the same nodes with fewer edges: every node but the least of its component, and that least one."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        low, new = np.minimum(label[u], label[v]), label.copy()
+        for ends in (u, v, label[u], label[v]):
+            np.minimum.at(new, ends, low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    moved = label != np.arange(len(nodes))
+    return nodes[moved], nodes[label[moved]]
+
+
 def common_hashes(texts: DataFrame, n: int, sample: int = SAMPLE, most: int = MOST_COMMON) -> np.ndarray:
     """Hashes of n-grams that at least three documents of a sample hold (about ``sample`` documents of at most 20,000
     characters, by a hash of their id), the most frequent ``most`` of them, sorted. They steer which signatures are
@@ -104,7 +126,7 @@ def _sign(n: int, percent: int, buckets: int, common):
             if held:
                 x, y = np.concatenate(held), np.repeat(np.array([h for h, _ in holders], np.int64), [c for _, c in holders])
                 order = np.argsort(x, kind="stable")
-                fresh = np.concatenate([[True], x[order][1:] != x[order][:-1]])
+                fresh = np.concatenate([[True], x[order][1:] != x[order][:-1]])[: len(x)]
                 lead = order[np.flatnonzero(fresh)[np.cumsum(fresh) - 1]]
                 near = np.unique(np.column_stack([y[lead][~fresh], y[order][~fresh]]), axis=0)
                 if len(near):
@@ -146,9 +168,11 @@ def _sign(n: int, percent: int, buckets: int, common):
 
 
 def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All rows of some ranges of signatures -> (kind, a, b): sizes, exact links, candidate edges."""
+    """All rows of some ranges of signatures -> (kind, a, b): sizes, exact links, candidate edges (these, with the exact
+    links among them, as stars)."""
     single_thread()
     held: dict[int, list] = {k: [] for k in range(5)}
+    near: list[tuple[np.ndarray, np.ndarray]] = []
     for batch in batches:
         for kind, a, b in zip(batch.column("kind").to_pylist(), batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
             held[kind].append((np.frombuffer(a, "<u8" if kind in (SIGNED, EQUAL) else "<i8"), np.frombuffer(b, "<i8")))
@@ -164,22 +188,26 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for a, b in held[SIZES]:
         yield from out(SIZES, a if len(a) else pa.nulls(len(b), pa.int64()), b)
-    for kind in (LINKED, NEAR):
-        for a, b in held[kind]:
-            yield from out(kind, a, b)
+    for a, b in held[LINKED]:
+        yield from out(LINKED, a, b)
+        near.append((a, b))
+    near += held[NEAR]
     if held[EQUAL]:
         x, y = np.concatenate([a for a, _ in held[EQUAL]]).reshape(-1, 2), np.concatenate([b for _, b in held[EQUAL]])
         order = np.lexsort((y, x[:, 1], x[:, 0]))
         same = np.concatenate([[False], (x[order][1:] == x[order][:-1]).all(axis=1)])
         e = edges(order, same, y)
         yield from out(LINKED, e[:, 0], e[:, 1])
+        near.append((e[:, 0], e[:, 1]))
     if held[SIGNED]:
         x, y = np.concatenate([a for a, _ in held[SIGNED]]), np.concatenate([b for _, b in held[SIGNED]])
         held.clear()
         order = np.argsort(x, kind="stable")
-        same = np.concatenate([[False], x[order][1:] == x[order][:-1]])
+        same = np.concatenate([[False], x[order][1:] == x[order][:-1]])[: len(x)]
         e = edges(order, same, y)
-        yield from out(NEAR, e[:, 0], e[:, 1])
+        near.append((e[:, 0], e[:, 1]))
+    if near:
+        yield from out(NEAR, *stars(*(np.concatenate(x) for x in zip(*near, strict=True))))
 
 
 def _trees(n: int, percent: int):
@@ -213,17 +241,72 @@ def _trees(n: int, percent: int):
     return trees
 
 
+def _texts_of(texts: DataFrame, rows: DataFrame) -> DataFrame:
+    """rows with their texts; few rows are broadcast, so that texts stay where they lie."""
+    return texts.join(F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows, "doc_id")
+
+
+def _sign_again(n: int, percent: int, common):
+    """(doc_id, text, part, n) -> (sig, doc_id, part, n): all signatures, as in the first pass."""
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        single_thread()
+        from .trie_join import NGrams, Signatures
+
+        grams, signatures = NGrams(n), Signatures(percent, common.value)
+        for batch in batches:
+            made = [np.unique(signatures.of(grams.of(t))) for t in batch.column("text").to_pylist()]
+            counts = [len(x) for x in made]
+            rows = pa.array(np.repeat(np.arange(len(made)), counts))
+            sig = pa.array(np.concatenate(made or [np.zeros(0, np.uint64)]).view(np.int64), pa.int64())
+            yield pa.record_batch([sig, *(batch.column(c).take(rows) for c in ("doc_id", "part", "n"))], ["sig", "doc_id", "part", "n"])
+
+    return sign
+
+
 def _verify(texts: DataFrame, members: DataFrame, n: int, percent: int) -> DataFrame:
     """members (block, doc_id) -> verified links (a, b). Blocks are named by hashes: two that met would only be searched
     together."""
-    if members.count() <= BROADCAST_IDS:
-        members = F.broadcast(members)
-    got = texts.join(members, "doc_id").select("block", "doc_id", "text")
+    got = _texts_of(texts, members).select("block", "doc_id", "text")
     dealt = got.repartition(partitions(texts.sparkSession), "block").sortWithinPartitions("block", "doc_id")
     return dealt.mapInArrow(_trees(n, percent), "a long, b long")
 
 
-def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block_docs: int = BLOCK_DOCS) -> DataFrame:
+def _chunked(inside: DataFrame, limit: int) -> DataFrame:
+    """(component, doc_id, n, weight) of large blocks -> (block, doc_id): chunks, all with the same few anchors, so that
+    what is linked to them comes together."""
+    chunks = F.ceil(F.col("weight") / limit).cast("int")
+    # anchors are short, so that they take at most half of a chunk
+    anchor = (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.ceil(F.col("docs") / ANCHORS)) == 0) & (F.col("n") <= limit // (2 * ANCHORS))
+    chunk = F.pmod(F.xxhash64("doc_id"), chunks).cast("int")
+    spread = inside.withColumn("chunk", F.explode(F.when(anchor, F.sequence(F.lit(0), chunks - 1)).otherwise(F.array(chunk))))
+    return spread.select(F.xxhash64("component", "chunk").alias("block"), "doc_id")
+
+
+def _across(members: DataFrame, limit: int) -> DataFrame:
+    """(sig, doc_id, part, n, weight) of signatures with too many n-grams -> (block, doc_id): every document outside the
+    largest part meets every other document of the signature."""
+    largest = members.groupBy("sig", "part").agg(F.sum("n").alias("held")).groupBy("sig").agg(F.max_by("part", F.struct("held", "part")).alias("main"), (F.sum("held") - F.max("held")).alias("rest"))
+    chunks, groups = F.ceil(F.col("weight") / limit).cast("int"), F.ceil(F.col("rest") / limit).cast("int")
+    every = members.join(largest, "sig").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), chunks).cast("int")).withColumn("g", F.pmod(F.xxhash64("doc_id", F.lit(2)), groups).cast("int"))
+    met = every.withColumn("g", F.explode(F.sequence(F.lit(0), groups - 1))).select("sig", "chunk", "g", "doc_id")
+    outside = every.where("part <> main").withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1))).select("sig", "chunk", "g", "doc_id")
+    return met.union(outside).select(F.xxhash64("sig", "chunk", "g").alias("block"), "doc_id").distinct()
+
+
+def _between_parts(texts: DataFrame, parts: DataFrame, n: int, percent: int, common, limit: int) -> DataFrame:
+    """parts (doc_id, part, n) of blocks that chunks left in several parts -> (block, doc_id) in which documents of
+    different parts that share a signature meet."""
+    signed = checkpoint(_texts_of(texts, parts).select("doc_id", "text", "part", "n").mapInArrow(_sign_again(n, percent, common), "sig long, doc_id long, part long, n long"))
+    mixed = signed.groupBy("sig").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.sum("n").alias("weight"), F.count("*").alias("docs"), F.bit_xor(F.xxhash64("doc_id")).alias("same")).where("low <> high")
+    # signatures with the same holders are one block
+    once = mixed.groupBy("docs", "weight", "same").agg(F.min("sig").alias("sig")).select("sig", "weight")
+    members = checkpoint(signed.join(once, "sig"))
+    small = members.where(F.col("weight") <= limit).select(F.col("sig").alias("block"), "doc_id")
+    return checkpoint(small.union(_across(members.where(F.col("weight") > limit), limit)))
+
+
+def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block_grams: int = BLOCK_GRAMS) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id.
 
     Two documents are linked when 100 * |A and B| >= percent * |A or B| for their sets of word n-grams (trie_join
@@ -238,46 +321,40 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     dealt = texts.mapInArrow(_sign(n, percent, 4 * parts, common), "bucket int, kind int, a binary, b binary").repartition(parts, "bucket")
     found = checkpoint(dealt.mapInArrow(_match, "kind int, a long, b long"))
     exact = found.where(F.col("kind") == LINKED).select("a", "b")
-    near = found.where(F.col("kind").isin(LINKED, NEAR)).select("a", "b")
-    # of equal sets, only the first goes on
-    blocks = connected_components(near).join(exact.select(F.col("b").alias("node")).distinct(), "node", "left_anti").withColumnRenamed("node", "doc_id")
-    blocks = checkpoint(blocks)
-    sizes = checkpoint(blocks.groupBy("component").count().where("count > 1"))
-    large = sizes.where(F.col("count") > block_docs).withColumn("chunks", F.ceil(F.col("count") / block_docs).cast("int"))
-    small = blocks.join(sizes.where(F.col("count") <= block_docs), "component").select(F.xxhash64("component").alias("block"), "doc_id")
-    links = [exact]
-    if large.isEmpty():
-        links.append(_verify(texts, small, n, percent))
-    else:
-        # chunks, each with the same few anchors, so that what is linked to them comes together
-        inside = checkpoint(blocks.join(large, "component").withColumn("h", F.xxhash64("doc_id")).withColumn("chunk", F.pmod("h", "chunks").cast("int")))
-        anchor = F.pmod(F.xxhash64("h"), F.ceil(F.col("count") / ANCHORS)) == 0
-        spread = inside.withColumn("chunk", F.explode(F.when(anchor, F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array("chunk"))))
-        chunked = spread.select(F.xxhash64("component", "chunk").alias("block"), "doc_id")
-        links.append(checkpoint(_verify(texts, small.union(chunked), n, percent)))
-        so_far = connected_components(links[1])
-        now = checkpoint(inside.join(so_far.select(F.col("node").alias("doc_id"), F.col("component").alias("part")), "doc_id", "left").withColumn("part", F.coalesce("part", "doc_id")))
-        largest = now.groupBy("component", "part").count().groupBy("component").agg(F.max_by("part", F.struct("count", "part")).alias("main"))
-        outside = now.join(largest, "component").where("part <> main")
-        groups = outside.groupBy("component").count().withColumn("groups", F.ceil(F.col("count") / block_docs).cast("int")).select("component", "groups")
-        rest = outside.join(groups, "component").withColumn("g", F.pmod(F.xxhash64("h"), "groups").cast("int"))
-        every = now.join(groups, "component")
-        pairs = every.withColumn("g", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).select("component", "chunk", "g", "doc_id").union(
-            rest.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("component", "chunk", "g", "doc_id")
-        )
-        pairs = pairs.select(F.xxhash64("component", "chunk", "g").alias("block"), "doc_id").distinct()
-        links.append(_verify(texts, checkpoint(pairs), n, percent))
-    all_links = links[0]
-    for x in links[1:]:
-        all_links = all_links.union(x)
-    reached = connected_components(all_links)
     own = found.where(F.col("kind") == SIZES).select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"))
+    # of equal sets, only the first goes on
+    blocks = connected_components(found.where(F.col("kind") == NEAR).select("a", "b")).join(exact.select(F.col("b").alias("node")).distinct(), "node", "left_anti").withColumnRenamed("node", "doc_id")
+    blocks = checkpoint(blocks.join(own.groupBy("doc_id").agg(F.sum("n_shingles").alias("n")), "doc_id"))
+    sizes = blocks.groupBy("component").agg(F.count("*").alias("docs"), F.sum("n").alias("weight")).where("docs > 1")
+    sized = checkpoint(blocks.join(sizes, "component"))
+    inside = sized.where(F.col("weight") > block_grams)
+    small = sized.where(F.col("weight") <= block_grams).select(F.xxhash64("component").alias("block"), "doc_id")
+    links = checkpoint(_verify(texts, checkpoint(small.union(_chunked(inside, block_grams))), n, percent))
+    if not inside.isEmpty():
+        so_far = checkpoint(connected_components(links))
+        now = inside.join(so_far.select(F.col("node").alias("doc_id"), F.col("component").alias("part")), "doc_id", "left").withColumn("part", F.coalesce("part", "doc_id"))
+        now = checkpoint(now.select("component", "doc_id", "part", "n"))
+        several = now.groupBy("component").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("component")
+        apart = checkpoint(now.join(several, "component").select("doc_id", "part", "n"))
+        links = so_far.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        if not apart.isEmpty():
+            links = links.union(_verify(texts, _between_parts(texts, apart, n, percent, common, block_grams), n, percent))
+    reached = connected_components(links.union(exact))
     return own.join(reached.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, components: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The documents whose component is their own id: one of each component (rows with a null id stay)."""
-    gone = checkpoint(components.where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct())
+def keep_one(docs: DataFrame, components: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each component: the rows whose component is their own id. Of rows that repeat such an id, the one
+    with the least text stays (null counts as empty). Rows with a null id are not linked with anything and all stay."""
+    components = checkpoint(components.where("doc_id IS NOT NULL"))
+    gone = components.where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
     # ids that go are broadcast up to BROADCAST_IDS (16 bytes each), else joined by a shuffle
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    few = lambda ids: F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    own = F.col(id_col).cast("long")
+    kept = docs.join(few(gone), own == F.col("__gone"), "left_anti")
+    again = components.where("component_id = doc_id").groupBy(F.col("doc_id").alias("__again")).count().where("count > 1").select("__again")
+    if again.isEmpty():
+        return kept
+    again = few(checkpoint(again))
+    first = kept.join(again, own == F.col("__again"), "left_semi").groupBy(own.alias("__id")).agg(F.min_by(F.struct(*docs.columns), F.struct(whole(F.col(text_col)), F.xxhash64(*docs.columns))).alias("__row"))
+    return kept.join(again, own == F.col("__again"), "left_anti").union(first.select("__row.*"))

@@ -44,19 +44,16 @@ def windows(text: str) -> list[bytes]:
 def without_copies(sample: list[tuple[str, int]]) -> list[tuple[str, int]]:
     """Of exact and near copies the first stays (texts that share one of six minimum hashes of five-word shingles):
     a text copied many times is one piece of evidence."""
-    import xxhash
+    from .trie_join import NGrams
 
     odd = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)  # fixed values: odd multipliers
-    seen: set[tuple[int, int]] = set()
-    kept = []
+    grams, seen, kept = NGrams(5), set(), []
     for text, y in sample:
-        words = _words(text)
-        n = min(5, len(words))
-        h = np.array([xxhash.xxh3_64_intdigest(b" ".join(words[i : i + n])) for i in range(len(words) - n + 1)] if n else [0], np.uint64)
-        marks = list(enumerate((h[None, :] * odd[:, None]).min(axis=1).tolist()))
-        if not any(m in seen for m in marks):
+        h = grams.of(text)
+        marks = set(enumerate((h[None, :] * odd[:, None]).min(axis=1).tolist())) if len(h) else {(-1, 0)}
+        if seen.isdisjoint(marks):
             kept.append((text, y))
-        seen.update(marks)
+        seen |= marks
     return kept
 
 

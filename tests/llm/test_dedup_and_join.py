@@ -1,14 +1,17 @@
 from __future__ import annotations
 
 import hashlib
+import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from quarrystone.llm import ngram_join
 from quarrystone.llm.common import connected_components
 from quarrystone.llm.exact_dedup import exact_duplicates
 from quarrystone.llm.ngram_join import keep_one, ngram_components
+from quarrystone.llm.trie_join import Forest
 
 from .conftest import table
 
@@ -64,9 +67,9 @@ def brute_components(rows, n, percent):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-@pytest.mark.parametrize(("n", "percent", "block"), [(4, 85, 3000), (5, 80, 3000), (4, 85, 3), (5, 80, 2)])
+@pytest.mark.parametrize(("n", "percent", "block"), [(4, 85, 1 << 17), (5, 80, 1 << 17), (4, 85, 200), (5, 80, 100), (4, 85, 20)])
 def test_components(docs, prose, n, percent, block):
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_components(docs, n, percent, block_docs=block).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_components(docs, n, percent, block_grams=block).collect()}
     assert got == brute_components(prose, n, percent)
 
 
@@ -78,6 +81,44 @@ def test_components_small_flush(docs, prose, monkeypatch):
     assert {r.doc_id for r in kept.collect()} == {i for i, (_, c) in got.items() if c == i} and kept.columns == docs.columns
 
 
+@pytest.mark.parametrize("block", [1 << 17, 600, 150])
+def test_components_of_a_shared_passage(spark, monkeypatch, block):
+    """Families of near copies that all hold one passage, which is not known to be common: candidates join all of them."""
+    monkeypatch.setattr(ngram_join, "common_hashes", lambda texts, n: np.zeros(0, np.uint64))
+    rng = random.Random(11)
+    words = ["".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(3)) for _ in range(3000)]
+    passage, rows = [rng.choice(words) for _ in range(60)], []
+    for _ in range(25):
+        base = [rng.choice(words) for _ in range(rng.choice([30, 60, 90]))] + passage
+        for _ in range(rng.choice([1, 2, 6])):
+            w = list(base)
+            for _ in range(rng.randint(0, 4)):
+                w[rng.randrange(len(w))] = rng.choice(words)
+            rows.append((len(rows), " ".join(w), "s"))
+    rng.shuffle(rows)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_components(table(spark, rows), 5, 80, block_grams=block).collect()}
+    assert got == brute_components(rows, 5, 80)
+
+
+def test_stars():
+    rng = random.Random(2)
+    for _ in range(200):
+        e = [(rng.randrange(30), rng.randrange(30)) for _ in range(rng.randint(1, 40))]
+        a, b = ngram_join.stars(*np.array(e, np.int64).T)
+        forest = Forest(30)
+        for x, y in e:
+            forest.join(x, y)
+        assert sorted(zip(a.tolist(), b.tolist(), strict=True)) == sorted((x, forest.find(x)) for x in {v for p in e for v in p} if forest.find(x) != x)
+
+
+def test_keep_one_of_repeated_rows(spark):
+    t = " ".join(f"w{i}" for i in range(30))
+    docs = table(spark, [(1, t, "a"), (1, t, "a"), (1, t + " z", "b"), (2, t, "a"), (3, "x", "s"), (3, None, "s"), (None, t, "s"), (None, t, "s")])
+    kept = keep_one(docs, ngram_components(docs))
+    assert kept.schema == docs.schema
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(1, t), (3, None), (None, t), (None, t)], key=str)
+
+
 def test_components_odd(odd, empty, spark):
     rows = ngram_components(odd, 4, 85).collect()
     assert len(rows) >= odd.count() and all(r.component_id is None for r in rows if r.doc_id is None)
