@@ -53,6 +53,16 @@ def whole(col):
     return F.coalesce(col, F.lit(""))
 
 
+def by_key(rows: DataFrame, known: DataFrame, key: str, count: str) -> DataFrame:
+    """rows joined with known (key, count), where count tells how many rows a key has: the most frequent keys are
+    broadcast, so that their rows stay where they lie; the others' rows are dealt by key."""
+    total = known.agg(F.sum(count)).first()[0] or 0
+    frequent = F.col(count) >= max(HUB_LINKS, total // MOST_HUBS)  # so at most MOST_HUBS keys
+    hot = F.broadcast(known.where(frequent))
+    rest = rows.join(hot.select(key), key, "left_anti").join(known.where(~frequent), key)
+    return rows.join(hot, key).unionByName(rest)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

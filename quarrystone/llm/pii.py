@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, whole
+from .common import by_key, checkpoint, whole
 from .spans import match_spans, no_spans
 
 # The base patterns. Possessive repetition and the look-behinds keep matching linear; what is matched is
@@ -21,7 +21,12 @@ KINDS = ("email", "ip", "card", "phone", "term")
 #: A number of at most 255, leading zeros allowed.
 BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 
+#: Characters on either side of an entity by which its contexts are told apart (near copies share them).
 CONTEXT_CHARS = 60
+#: Candidate terms up to which they are broadcast as hashes (about 32 bytes each); beyond, a shuffle join.
+BROADCAST_TERMS = 1_000_000
+#: Entities with terms up to which they are broadcast with them; beyond, a shuffle join, which adaptive execution splits.
+BROADCAST_ENTITIES = 50_000
 WORD_SPLIT = r"[^\p{L}\p{N}]+"
 
 
@@ -74,47 +79,53 @@ def _entity(kind: Column, value: Column) -> Column:
     return F.concat_ws(":", kind, F.when(kind.isin("card", "phone"), _digits(value)).otherwise(F.lower(value)))
 
 
-def disclosing_terms(docs: DataFrame, texts: DataFrame, share: float = 0.9, least: int = 3, broadcast_terms: int = 100_000) -> DataFrame:
+def disclosing_terms(docs: DataFrame, texts: DataFrame, share: float = 0.9, least: int = 3, context_chars: int = CONTEXT_CHARS, broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
     """(entity, term) where the term tells the entity: PMI(entity; term) >= share * IC(entity).
 
-    docs has (doc_id, at, text, spans) of documents with base spans, texts has every document's text. The unit of an
-    entity's evidence is a distinct context (the characters around it), so copies count once; a term must occur in
-    ``least`` distinct contexts of the entity, and its own frequency is the number of distinct texts, of all, that hold it,
-    so that copies don't count against a term either. With N distinct texts, IC = ln(N / n(e)) and PMI = ln(n(e,t) N / (n(e) n(t))).
+    docs has (text, spans) of documents with base spans, texts has every document's text. Terms are looked for in whole
+    texts. Copies are one piece of evidence: equal texts are one text, and of texts in which an entity stands in the
+    same context (the characters around it) one speaks for the others. With N distinct texts, n(e) texts that speak
+    for the entity, n(e,t) of them with the term, and n(t) distinct texts with the term, less the entity's texts for
+    which others speak, IC = ln(N / n(e)) and PMI = ln(n(e,t) N / (n(e) n(t))). A term must stand in ``least`` of the
+    texts that speak for the entity.
     """
     total = texts.select(F.xxhash64("text").alias("h")).distinct().count()
-    around = docs.select(F.explode("spans").alias("s"), "text", "at").select(
+    once = checkpoint(docs.groupBy(F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"), F.first("spans").alias("spans")))
+    around = once.select("h", "text", F.explode("spans").alias("s")).select(
+        "h",
         _entity(F.col("s.kind"), F.col("s.value")).alias("entity"),
-        F.concat_ws(
-            " ",
-            F.substring("text", F.greatest(F.lit(1), F.col("s.start") + 1 - CONTEXT_CHARS), F.least(F.lit(CONTEXT_CHARS), F.col("s.start"))),
-            F.substring("text", F.col("s.end") + 1, F.lit(CONTEXT_CHARS)),
+        F.xxhash64(
+            F.substring("text", F.greatest(F.lit(1), F.col("s.start") + 1 - context_chars), F.least(F.lit(context_chars), F.col("s.start"))),
+            F.substring("text", F.col("s.end") + 1, F.lit(context_chars)),
         ).alias("context"),
-        "text",
     )
-    contexts = checkpoint(around.groupBy("entity", F.xxhash64("context").alias("c")).agg(F.first("context").alias("context"), F.min(F.xxhash64("text")).alias("at")))
-    entities = contexts.groupBy("entity").agg(F.count("*").alias("ne")).where(F.col("ne") >= least)
-    words = F.explode(F.array_distinct(_words(F.col("context")))).alias("term")
+    speaks = checkpoint(around.groupBy("entity", "context").agg(F.min("h").alias("h")).select("entity", "h").distinct())
+    entities = checkpoint(speaks.groupBy("entity").agg(F.count("*").alias("ne")).where((F.col("ne") >= least) & (F.col("ne") < total)))
+    of_texts = by_key(around.select("entity", "h").distinct(), entities, "entity", "ne")
+    pairs = of_texts.join(speaks.withColumn("speaks", F.lit(1)), ["entity", "h"], "left").groupBy("h").agg(F.collect_list(F.struct("entity", "ne", F.coalesce("speaks", F.lit(0)).alias("speaks"))).alias("entities"))
+    # an entity is counted for a term once a text; a text's entities and words lie in one row
+    told = once.select("h", F.array_distinct(_words(F.col("text"))).alias("words")).join(pairs, "h")
+    words = told.select("h", "entities", F.explode("words").alias("term"))
     joint = (
-        contexts.join(entities, "entity").select("entity", "ne", words)
-        .groupBy("entity", "term").agg(F.first("ne").alias("ne"), F.count("*").alias("net"))
-        .where(F.col("net") >= least)
+        words.select("term", F.explode("entities").alias("e")).groupBy("e.entity", "term")
+        .agg(F.first("e.ne").alias("ne"), F.sum("e.speaks").alias("net"), F.count("*").alias("both")).where(F.col("net") >= least)
     )
-    # PMI >= share * IC is nt <= net * (N / ne)^(1 - share); contexts alone show most words to be more frequent
+    # PMI >= share * IC is n(t) <= n(e,t) * (N / n(e))^(1 - share); texts with entities alone show most words to be more frequent
+    spoken = F.col("both") - F.col("net")
     most = F.col("net") * F.pow(F.lit(float(total)) / F.col("ne"), F.lit(1 - share)) * (1 + 1e-9)
-    shown = contexts.select("at", words).groupBy("term").agg(F.countDistinct("at").alias("shown"))
-    joint = checkpoint(joint.where(F.col("ne") < total).join(shown, "term").where(F.col("shown") <= most))
-    terms = checkpoint(joint.select("term").distinct())
+    shown = words.groupBy("term").agg(F.count("*").alias("shown"))
+    joint = checkpoint(joint.join(shown, "term").where(F.col("shown") - spoken <= most))
+    terms = checkpoint(joint.select(F.xxhash64("term").alias("t")).distinct())
     n_terms = terms.count()
     if not n_terms:
         return joint.select("entity", "term")
-    # how many of all documents hold each candidate; the candidates' number decides how they reach the scan
-    held = texts.select(F.xxhash64("text").alias("h"), F.explode(F.array_distinct(_words(F.col("text")))).alias("term"))
-    frequency = held.join(F.broadcast(terms) if n_terms <= broadcast_terms else terms, "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("nt"))
-    return joint.join(frequency, "term").where(F.greatest("nt", "net") <= most).select("entity", "term")
+    # how many of all distinct texts hold each candidate
+    held = texts.select(F.xxhash64("text").alias("h"), F.explode(F.array_distinct(_words(F.col("text")))).alias("term")).select("h", F.xxhash64("term").alias("t"))
+    frequency = held.join(F.broadcast(terms) if n_terms <= broadcast_terms else terms, "t", "left_semi").distinct().groupBy("t").agg(F.count("*").alias("nt"))
+    return joint.withColumn("t", F.xxhash64("term")).join(frequency, "t").where(F.col("nt") - spoken <= most).select("entity", "term")
 
 
-def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = 0.9, least: int = 3) -> DataFrame:
+def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = 0.9, least: int = 3, context_chars: int = CONTEXT_CHARS) -> DataFrame:
     """One row per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term.
 
     Base spans come from the patterns; failing matches are dropped without another try. In a document that holds an
@@ -122,7 +133,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     base ones. A null text is empty; repeated rows and null ids pass through; an empty table gives no rows. DataFrame
     functions only. What is kept between passes is narrow, but for texts that hold personal data.
     """
-    every = find_spans(docs, id_col, text_col, share, least)
+    every = find_spans(docs, id_col, text_col, share, least, context_chars)
     count = lambda rank: F.size(F.filter("every", lambda s: s["rank"] == rank)).cast("long")
     return every.select(
         "doc_id",
@@ -133,16 +144,17 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     )
 
 
-def find_spans(docs: DataFrame, id_col: str, text_col: str, share: float, least: int) -> DataFrame:
+def find_spans(docs: DataFrame, id_col: str, text_col: str, share: float, least: int, context_chars: int = CONTEXT_CHARS) -> DataFrame:
     """doc_id, text (null where nothing is found), spans (base ones), every (with terms)."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(F.col(text_col)).alias("text"))
     marked = texts.withColumn("spans", base_spans(F.col("text"))).withColumn("at", F.monotonically_increasing_id())
     found = checkpoint(marked.select("doc_id", "at", "spans", F.when(F.size("spans") > 0, F.col("text")).alias("text")))
     some = found.where(F.size("spans") > 0)
-    terms = disclosing_terms(some, texts, share, least)
+    # an entity's terms are few: each stands in nearly no text without it
+    terms = checkpoint(disclosing_terms(some.select("text", "spans"), texts, share, least, context_chars).groupBy("entity").agg(F.collect_set("term").alias("of")))
     entities = some.select("at", F.explode(F.array_distinct(F.transform("spans", lambda s: _entity(s["kind"], s["value"])))).alias("entity"))
-    # terms of an entity go to its documents; an entity's terms are few (its contexts hold them all)
-    of_docs = entities.join(terms, "entity").groupBy("at").agg(F.sort_array(F.collect_set("term")).alias("terms"))
+    known = F.broadcast(terms) if terms.count() <= BROADCAST_ENTITIES else terms
+    of_docs = entities.join(known, "entity").groupBy("at").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("of")))).alias("terms"))
     quoted = F.array_join(F.transform("terms", lambda t: F.concat(F.lit("\\Q"), t, F.lit("\\E"))), "|")
     pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), quoted, F.lit(r")(?![\p{L}\p{N}])"))
     extra = F.when(F.col("terms").isNotNull(), match_spans(F.col("text"), pattern)).otherwise(no_spans())
@@ -151,13 +163,13 @@ def find_spans(docs: DataFrame, id_col: str, text_col: str, share: float, least:
     return found.join(of_docs, "at", "left").withColumn("every", F.array_sort(F.concat("spans", added)))
 
 
-def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = 0.9, least: int = 3) -> DataFrame:
+def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = 0.9, least: int = 3, context_chars: int = CONTEXT_CHARS) -> DataFrame:
     """doc_id and text with base spans generalised to <KIND> and disclosing terms removed, for documents that hold any;
     other documents keep their text and are not returned."""
     step = lambda a, s: F.struct(
         F.greatest(a["at"], s["end"]).alias("at"),
         F.when(s["start"] >= a["at"], F.concat(a["out"], F.array(F.substring("text", a["at"] + 1, s["start"] - a["at"]), F.when(s["rank"] == 4, F.lit("")).otherwise(F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">")))))).otherwise(a["out"]).alias("out"),
     )
-    some = find_spans(docs, id_col, text_col, share, least).where(F.size("every") > 0)
+    some = find_spans(docs, id_col, text_col, share, least, context_chars).where(F.size("every") > 0)
     done = F.aggregate("every", F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")), step)
     return some.withColumn("done", done).select("doc_id", F.concat(F.array_join("done.out", ""), F.substring("text", F.col("done.at") + 1, F.length("text"))).alias("text"))
