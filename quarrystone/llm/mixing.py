@@ -8,7 +8,6 @@ handed to its documents: whole epochs to all, the rest to documents in a seeded
 
 from __future__ import annotations
 
-import heapq
 from collections import defaultdict
 
 from pyspark.sql import Column, DataFrame, Window
@@ -54,9 +53,10 @@ def quotas(sizes: dict[str | None, int], weights: dict[str | None, float], total
 def min_cost_flow(patterns: list[tuple[tuple, int]], quota: dict, most: int = MAX_REPEATS) -> list[float]:
     """Tokens that each pattern gives, at least cost.
 
-    patterns: (sources, size). A pattern's k-th use (its size each time) costs k - 1, so costs are convex. Successive
-    shortest paths with potentials on start -> pattern (one arc a use) -> source -> end; parts of the graph that share
-    no source are solved apart.
+    patterns: (sources, size). A pattern's k-th use (its size each time) costs k - 1, so costs are convex, on
+    start -> pattern (one arc a use) -> source -> end. As a use costs the same whatever the pattern, shortest paths of
+    cost 0 are exhausted first, then those of cost 1 and so on; among paths of one cost, blocking flows are found level
+    by level. Parts of the graph that share no source are solved apart.
     """
     group: dict = {}
 
@@ -75,64 +75,81 @@ def min_cost_flow(patterns: list[tuple[tuple, int]], quota: dict, most: int = MA
             parts[root(sources[0])].append(i)
     given = [0.0] * len(patterns)
     for members in parts.values():
-        names = sorted({s for i in members for s in patterns[i][0]}, key=lambda s: (s is None, s))
-        if len(members) == 1 and len(names) == 1:
-            given[members[0]] = min(quota[names[0]], float(most * patterns[members[0]][1]))
-            continue
-        for i, flow in zip(members, _shortest_paths([patterns[i] for i in members], names, quota, most), strict=True):
+        for i, flow in zip(members, _Network([patterns[i] for i in members], quota).cheapest(most), strict=True):
             given[i] = flow
     return given
 
 
-def _shortest_paths(patterns, names, quota, most) -> list[float]:
-    start, end = 0, 1
-    pattern_node = range(2, 2 + len(patterns))
-    source_node = {s: 2 + len(patterns) + k for k, s in enumerate(names)}
-    arcs: list[list] = []  # to, capacity, cost; the reverse arc is at index ^ 1
-    out: list[list[int]] = [[] for _ in range(2 + len(patterns) + len(names))]
-
-    def arc(a, b, capacity, cost):
-        out[a].append(len(arcs))
-        arcs.append([b, capacity, cost])
-        out[b].append(len(arcs))
-        arcs.append([a, 0.0, -cost])
-
-    first = []
-    for p, (sources, size) in zip(pattern_node, patterns, strict=True):
-        first.append(len(arcs))
-        for k in range(most):
-            arc(start, p, float(size), float(k))
-        for s in sorted(set(sources), key=lambda s: (s is None, s)):
-            arc(p, source_node[s], float("inf"), 0.0)
-    for s in names:
-        arc(source_node[s], end, float(quota[s]), 0.0)
-    small = 1e-9 * max(1.0, sum(quota[s] for s in names))
-    height = [0.0] * len(out)
-    while True:
-        best, came, queue = [float("inf")] * len(out), [-1] * len(out), [(0.0, start)]
-        best[start] = 0.0
-        while queue:
-            d, a = heapq.heappop(queue)
-            if d > best[a]:
+class _Network:
+    """Residual capacities; an arc's reverse is at index ^ 1."""
+
+    def __init__(self, patterns: list[tuple[tuple, int]], quota: dict):
+        names = sorted({s for sources, _ in patterns for s in sources}, key=lambda s: (s is None, s))
+        self.sizes = [float(size) for _, size in patterns]
+        self.to: list[int] = []
+        self.left: list[float] = []
+        self.out: list[list[int]] = [[] for _ in range(2 + len(patterns) + len(names))]
+        source_node = {s: 2 + len(patterns) + k for k, s in enumerate(names)}
+        self.uses = [self._arc(0, 2 + p, 0.0) for p in range(len(patterns))]
+        for p, (sources, _) in enumerate(patterns):
+            for s in sorted(set(sources), key=lambda s: (s is None, s)):
+                self._arc(2 + p, source_node[s], float("inf"))
+        for s in names:
+            self._arc(source_node[s], 1, float(quota[s]))
+        self.small = 1e-9 * max(1.0, sum(quota[s] for s in names))
+
+    def _arc(self, a: int, b: int, capacity: float) -> int:
+        self.out[a].append(len(self.to))
+        self.out[b].append(len(self.to) + 1)
+        self.to += (b, a)
+        self.left += (capacity, 0.0)
+        return len(self.to) - 2
+
+    def cheapest(self, most: int) -> list[float]:
+        """What flows into each pattern."""
+        for _ in range(most):
+            for e, size in zip(self.uses, self.sizes, strict=True):
+                self.left[e] += size  # the next use, at the next cost
+            while (level := self._levels())[1] >= 0:
+                self._block(level)
+        return [self.left[e + 1] for e in self.uses]
+
+    def _levels(self) -> list[int]:
+        level, queue = [-1] * len(self.out), [0]
+        level[0] = 0
+        for a in queue:
+            for e in self.out[a]:
+                if self.left[e] > self.small and level[self.to[e]] < 0:
+                    level[self.to[e]] = level[a] + 1
+                    queue.append(self.to[e])
+        return level
+
+    def _block(self, level: list[int]) -> None:
+        """Fills paths that go one level on with each arc, until there is none left."""
+        at, path, a = [0] * len(self.out), [], 0
+        while True:
+            if a == 1:
+                amount = min(self.left[e] for e in path)
+                for k in range(len(path) - 1, -1, -1):
+                    self.left[path[k]] -= amount
+                    self.left[path[k] ^ 1] += amount
+                    if self.left[path[k]] <= self.small:
+                        keep = k
+                path, a = path[:keep], self.to[path[keep] ^ 1]
                 continue
-            for e in out[a]:
-                b, capacity, cost = arcs[e]
-                if capacity > small and (n := d + cost + height[a] - height[b]) < best[b] - 1e-12:
-                    best[b], came[b] = n, e
-                    heapq.heappush(queue, (n, b))
-        if best[end] == float("inf"):
-            break
-        for a, d in enumerate(best):
-            height[a] += min(d, best[end])
-        path, a = [], end
-        while a != start:
-            path.append(came[a])
-            a = arcs[came[a] ^ 1][0]
-        amount = min(arcs[e][1] for e in path)
-        for e in path:
-            arcs[e][1] -= amount
-            arcs[e ^ 1][1] += amount
-    return [sum(arcs[e + 2 * k + 1][1] for k in range(most)) for e in first]
+            while at[a] < len(self.out[a]):
+                e = self.out[a][at[a]]
+                if self.left[e] > self.small and level[self.to[e]] == level[a] + 1:
+                    break
+                at[a] += 1
+            else:
+                if not path:
+                    return
+                a = self.to[path.pop() ^ 1]
+                at[a] += 1
+                continue
+            path.append(e)
+            a = self.to[e]
 
 
 # --- operator ------------------------------------------------------------------------------------------------------
@@ -147,6 +164,7 @@ def _sized(docs: DataFrame, member: Column | None, size: Column | None, id_col:
 def _solve(rows: DataFrame, weight_cycle, weights, share: float, most: int) -> DataFrame:
     """The plan by pattern: key, source_size, target, epochs (whole uses), rest (words beyond them), buckets."""
     sums = rows.groupBy("__sources").agg(F.sum("__size").alias("size"), F.count("*").alias("n")).limit(MAX_PATTERNS + 1).collect()
+    sums.sort(key=lambda r: [(s is None, s or "") for s in r["__sources"] or []])
     if len(sums) > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} sets of sources")
     patterns = [(tuple(r["__sources"] or ()), int(r["size"] or 0), int(r["n"])) for r in sums]
@@ -231,7 +249,8 @@ def mix(docs: DataFrame, weight_cycle: tuple[float, ...] = (5, 2, 1), weights: d
     together they get ``share`` of all words. ``membership`` is an array of sources (default: the column ``source``
     alone); target and source_size add up over a document's sources. ``taken`` = size * copies is what the mix takes:
     whole documents, up to ``most`` copies. Null texts have size 0 and nothing to take; repeated rows are documents of
-    their own; an empty table gives no rows. The same rows and seed always give the same mix.
+    their own; an empty table gives no rows. The same rows and seed always give the same
+    mix, however they are partitioned: rows that tie are alike in id and size.
 
     Only sums by pattern and a cut point by pattern reach the driver. Texts are read once, to count words; a narrow
     table of (id, pattern, size) is checkpointed, and only its hash buckets at the cut points are windowed.
