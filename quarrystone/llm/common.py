@@ -54,7 +54,7 @@ def whole(col):
 
 
 def by_key(rows: DataFrame, known: DataFrame, key: str, count: str) -> DataFrame:
-    """rows joined with known (key, count), where count tells how many rows a key has: the most frequent keys are
+    """rows joined with known (key, count and others; one row a key), where count tells how many rows a key has: the most frequent keys are
     broadcast, so that their rows stay where they lie; the others' rows are dealt by key."""
     total = known.agg(F.sum(count)).first()[0] or 0
     frequent = F.col(count) >= max(HUB_LINKS, total // MOST_HUBS)  # so at most MOST_HUBS keys

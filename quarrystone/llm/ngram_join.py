@@ -5,11 +5,12 @@
 2. Each range finds its repeated signatures: candidate edges from the first holder, and exact edges between equal sets
    (by a 128-bit hash). Nothing is emitted for pairs within a group, only edges to its first member.
 3. Components of the edges are blocks: linked sets share a signature, so they are in one block. The sets of a block go
-   through one prefix tree, which gives verified links that join all its components. Blocks of more n-grams than one
-   tree may hold are cut into chunks.
-4. Where chunks leave a block in several parts, only documents of different parts that share a signature can still be
-   linked: each signature's holders, if they are of several parts, are a block of their own. Only such a block that is
-   itself too large is dealt chunk by chunk against what lies outside its largest part.
+   through one prefix tree, which gives verified links that join all its components. In components of more n-grams
+   than one tree may hold, documents with equal minimum hashes meet first.
+4. Where this leaves a component in several parts, a document can only be linked with another part if other parts hold
+   enough of its n-grams. Of those that remain, documents of different parts that share a signature can still be
+   linked: components of these are blocks again. Only one that is still too large is dealt chunk by chunk against what
+   lies outside its largest part, or signature by signature, whichever deals less.
 5. Components of the verified links are the answer.
 """
 
@@ -22,13 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, connected_components, partitions, single_thread, whole
+from .common import by_key, checkpoint, connected_components, partitions, single_thread, whole
 
 SIGNED, EQUAL, SIZES, LINKED, NEAR = range(5)
 FLUSH = 1 << 20
 #: N-grams of a block that one prefix tree holds (one document may have more), and documents that all chunks share.
 BLOCK_GRAMS = 1 << 17
 ANCHORS = 16
+#: Minimum hashes by which documents of components too large for one tree meet first.
+ALIKE = 4
 #: Documents looked at for common n-grams, and how many of those n-grams are broadcast (8 bytes each).
 SAMPLE, MOST_COMMON = 4_000, 300_000
 #: Documents in blocks up to which (block, id), 16 bytes each, is broadcast to fetch texts; beyond, a shuffle join.
@@ -246,6 +249,48 @@ def _texts_of(texts: DataFrame, rows: DataFrame) -> DataFrame:
     return texts.join(F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows, "doc_id")
 
 
+def _spread(batches: Iterator[pa.RecordBatch], numbers_of, name: str) -> Iterator[pa.RecordBatch]:
+    """A row for each number of each text: the number, doc_id, part, n. A few texts at a time."""
+    columns = ("doc_id", "part", "n")
+    for whole_batch in batches:
+        texts, start, made, amount = whole_batch.column("text"), 0, [], 0
+        for i in range(len(texts)):
+            made.append(numbers_of(texts[i].as_py()))
+            amount += len(made[-1])
+            if amount >= FLUSH // 4 or i + 1 == len(texts):
+                rows = pa.array(np.repeat(np.arange(start, i + 1), [len(x) for x in made]))
+                yield pa.record_batch([pa.array(np.concatenate(made).view(np.int64), pa.int64()), *(whole_batch.column(c).take(rows) for c in columns)], [name, *columns])
+                start, made, amount = i + 1, [], 0
+
+
+def _all_grams(n: int):
+    """(doc_id, text, part, n) -> (h, doc_id, part, n): all n-grams."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        single_thread()
+        yield from _spread(batches, ngrams_of(n).of, "h")
+
+    return spread
+
+
+def _minima(n: int):
+    """(doc_id, text, part, n) -> (sig, doc_id, part, n): the least n-gram hash in each of ALIKE orders."""
+
+    def minima(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        single_thread()
+        from .trie_join import M1, mixed
+
+        grams, salts = ngrams_of(n), [np.uint64((2 * j + 1) * int(M1) & 0xFFFFFFFFFFFFFFFF) for j in range(ALIKE)]
+
+        def least(text: str) -> np.ndarray:
+            h = grams.of(text)
+            return mixed(np.array([mixed(h ^ s).min() ^ s for s in salts], np.uint64)) if len(h) else np.zeros(0, np.uint64)
+
+        yield from _spread(batches, least, "sig")
+
+    return minima
+
+
 def _sign_again(n: int, percent: int, common):
     """(doc_id, text, part, n) -> (sig, doc_id, part, n): all signatures, as in the first pass."""
 
@@ -254,12 +299,7 @@ def _sign_again(n: int, percent: int, common):
         from .trie_join import NGrams, Signatures
 
         grams, signatures = NGrams(n), Signatures(percent, common.value)
-        for batch in batches:
-            made = [np.unique(signatures.of(grams.of(t))) for t in batch.column("text").to_pylist()]
-            counts = [len(x) for x in made]
-            rows = pa.array(np.repeat(np.arange(len(made)), counts))
-            sig = pa.array(np.concatenate(made or [np.zeros(0, np.uint64)]).view(np.int64), pa.int64())
-            yield pa.record_batch([sig, *(batch.column(c).take(rows) for c in ("doc_id", "part", "n"))], ["sig", "doc_id", "part", "n"])
+        yield from _spread(batches, lambda t: np.unique(signatures.of(grams.of(t))), "sig")
 
     return sign
 
@@ -272,20 +312,23 @@ def _verify(texts: DataFrame, members: DataFrame, n: int, percent: int) -> DataF
     return dealt.mapInArrow(_trees(n, percent), "a long, b long")
 
 
-def _chunked(inside: DataFrame, limit: int) -> DataFrame:
-    """(component, doc_id, n, weight) of large blocks -> (block, doc_id): chunks, all with the same few anchors, so that
-    what is linked to them comes together."""
+def _alike(texts: DataFrame, inside: DataFrame, n: int, limit: int) -> DataFrame:
+    """inside (doc_id, part, n) of components too large for one tree -> (block, doc_id): documents with the same minimum
+    hash, of ALIKE kinds, meet, so that nearly all that are linked do. Blocks that are still too large are cut into
+    chunks, all with the same few anchors, so that what is linked to them comes together."""
+    marked = checkpoint(_texts_of(texts, inside).select("doc_id", "text", "part", "n").mapInArrow(_minima(n), "sig long, doc_id long, part long, n long"))
+    sizes = marked.groupBy("sig").agg(F.count("*").alias("docs"), F.sum("n").alias("weight")).where("docs > 1")
     chunks = F.ceil(F.col("weight") / limit).cast("int")
     # anchors are short, so that they take at most half of a chunk
     anchor = (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.ceil(F.col("docs") / ANCHORS)) == 0) & (F.col("n") <= limit // (2 * ANCHORS))
     chunk = F.pmod(F.xxhash64("doc_id"), chunks).cast("int")
-    spread = inside.withColumn("chunk", F.explode(F.when(anchor, F.sequence(F.lit(0), chunks - 1)).otherwise(F.array(chunk))))
-    return spread.select(F.xxhash64("component", "chunk").alias("block"), "doc_id")
+    spread = by_key(marked, checkpoint(sizes), "sig", "docs").withColumn("chunk", F.explode(F.when(anchor, F.sequence(F.lit(0), chunks - 1)).otherwise(F.array(chunk))))
+    return spread.select(F.xxhash64("sig", "chunk").alias("block"), "doc_id").distinct()
 
 
 def _across(members: DataFrame, limit: int) -> DataFrame:
-    """(sig, doc_id, part, n, weight) of signatures with too many n-grams -> (block, doc_id): every document outside the
-    largest part meets every other document of the signature."""
+    """(sig, doc_id, part, n, weight) of signatures (or components) with too many n-grams -> (block, doc_id): every
+    document outside the largest part meets every other document of the signature."""
     largest = members.groupBy("sig", "part").agg(F.sum("n").alias("held")).groupBy("sig").agg(F.max_by("part", F.struct("held", "part")).alias("main"), (F.sum("held") - F.max("held")).alias("rest"))
     chunks, groups = F.ceil(F.col("weight") / limit).cast("int"), F.ceil(F.col("rest") / limit).cast("int")
     every = members.join(largest, "sig").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), chunks).cast("int")).withColumn("g", F.pmod(F.xxhash64("doc_id", F.lit(2)), groups).cast("int"))
@@ -294,16 +337,42 @@ def _across(members: DataFrame, limit: int) -> DataFrame:
     return met.union(outside).select(F.xxhash64("sig", "chunk", "g").alias("block"), "doc_id").distinct()
 
 
+def _linkable(texts: DataFrame, parts: DataFrame, n: int, percent: int) -> DataFrame:
+    """Of parts (doc_id, part, n), the documents that can be linked with another part at all: linked sets share at least
+    percent of the n-grams of each, so as many of a document's n-grams must be held by other parts. What unrelated
+    documents have in common (lines, passages) is mostly less."""
+    held = checkpoint(_texts_of(texts, parts).select("doc_id", "text", "part", "n").mapInArrow(_all_grams(n), "h long, doc_id long, part long, n long"))
+    shared = held.groupBy("h").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("docs")).where("low <> high")
+    counted = by_key(held, checkpoint(shared.select("h", "docs")), "h", "docs").groupBy("doc_id", "part", "n").count()
+    return checkpoint(counted.where(F.col("count") * 100 >= F.col("n") * percent).select("doc_id", "part", "n"))
+
+
 def _between_parts(texts: DataFrame, parts: DataFrame, n: int, percent: int, common, limit: int) -> DataFrame:
-    """parts (doc_id, part, n) of blocks that chunks left in several parts -> (block, doc_id) in which documents of
-    different parts that share a signature meet."""
+    """parts (doc_id, part, n) -> (block, doc_id) in which documents of different parts that share a signature meet.
+
+    Components of the shared signatures are blocks. One that is too large is dealt as a whole, chunk by chunk, or
+    signature by signature, whichever deals fewer n-grams.
+    """
     signed = checkpoint(_texts_of(texts, parts).select("doc_id", "text", "part", "n").mapInArrow(_sign_again(n, percent, common), "sig long, doc_id long, part long, n long"))
-    mixed = signed.groupBy("sig").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.sum("n").alias("weight"), F.count("*").alias("docs"), F.bit_xor(F.xxhash64("doc_id")).alias("same")).where("low <> high")
+    mixed = signed.groupBy("sig").agg(
+        F.min("part").alias("low"), F.max("part").alias("high"), F.sum("n").alias("weight"), F.count("*").alias("docs"), F.bit_xor(F.xxhash64("doc_id")).alias("same"), F.min("doc_id").alias("lead")
+    ).where("low <> high")
     # signatures with the same holders are one block
-    once = mixed.groupBy("docs", "weight", "same").agg(F.min("sig").alias("sig")).select("sig", "weight")
-    members = checkpoint(signed.join(once, "sig"))
-    small = members.where(F.col("weight") <= limit).select(F.col("sig").alias("block"), "doc_id")
-    return checkpoint(small.union(_across(members.where(F.col("weight") > limit), limit)))
+    once = checkpoint(mixed.groupBy("docs", "weight", "same").agg(F.min("sig").alias("sig"), F.first("lead").alias("lead")))
+    members = checkpoint(by_key(signed, once.select("sig", "docs", "weight", "lead"), "sig", "docs"))
+    joined = checkpoint(connected_components(members.select(F.col("lead").alias("a"), F.col("doc_id").alias("b"))))
+    placed = checkpoint(members.select("doc_id", "part", "n").distinct().join(joined.withColumnRenamed("node", "doc_id"), "doc_id"))
+    by_signature = once.join(joined.withColumnRenamed("node", "lead"), "lead").groupBy("component").agg(F.sum("weight").alias("dealt"))
+    held = placed.groupBy("component", "part").agg(F.sum("n").alias("held")).groupBy("component").agg(F.sum("held").alias("weight"), (F.sum("held") - F.max("held")).alias("rest"))
+    whole_deal = F.col("weight") * F.ceil(F.col("rest") / limit) + F.col("rest") * F.ceil(F.col("weight") / limit)
+    how = F.when(F.col("weight") <= limit, 0).when(whole_deal <= F.col("dealt"), 1).otherwise(2)
+    chosen = checkpoint(held.join(by_signature, "component").select("component", "weight", how.alias("how")))
+    together = checkpoint(placed.join(chosen, "component"))
+    small = together.where("how = 0").select(F.xxhash64("component", F.lit(0)).alias("block"), "doc_id")
+    dealt = _across(together.where("how = 1").select(F.col("component").alias("sig"), "doc_id", "part", "n", "weight"), limit)
+    apart = members.join(together.where("how = 2").select("doc_id"), "doc_id", "left_semi")
+    alone = apart.where(F.col("weight") <= limit).select(F.col("sig").alias("block"), "doc_id")
+    return checkpoint(small.union(dealt).union(alone).union(_across(apart.where(F.col("weight") > limit), limit)))
 
 
 def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block_grams: int = BLOCK_GRAMS) -> DataFrame:
@@ -327,15 +396,18 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     blocks = checkpoint(blocks.join(own.groupBy("doc_id").agg(F.sum("n_shingles").alias("n")), "doc_id"))
     sizes = blocks.groupBy("component").agg(F.count("*").alias("docs"), F.sum("n").alias("weight")).where("docs > 1")
     sized = checkpoint(blocks.join(sizes, "component"))
-    inside = sized.where(F.col("weight") > block_grams)
-    small = sized.where(F.col("weight") <= block_grams).select(F.xxhash64("component").alias("block"), "doc_id")
-    links = checkpoint(_verify(texts, checkpoint(small.union(_chunked(inside, block_grams))), n, percent))
-    if not inside.isEmpty():
+    inside = sized.where(F.col("weight") > block_grams).select("doc_id", F.col("component").alias("part"), "n")
+    large = not inside.isEmpty()
+    members = sized.where(F.col("weight") <= block_grams).select(F.xxhash64("component").alias("block"), "doc_id")
+    if large:
+        members = members.union(_alike(texts, inside, n, block_grams))
+    links = checkpoint(_verify(texts, checkpoint(members), n, percent))
+    if large:
         so_far = checkpoint(connected_components(links))
-        now = inside.join(so_far.select(F.col("node").alias("doc_id"), F.col("component").alias("part")), "doc_id", "left").withColumn("part", F.coalesce("part", "doc_id"))
-        now = checkpoint(now.select("component", "doc_id", "part", "n"))
+        now = inside.withColumnRenamed("part", "component").join(so_far.select(F.col("node").alias("doc_id"), F.col("component").alias("part")), "doc_id", "left")
+        now = checkpoint(now.select("component", "doc_id", F.coalesce("part", "doc_id").alias("part"), "n"))
         several = now.groupBy("component").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("component")
-        apart = checkpoint(now.join(several, "component").select("doc_id", "part", "n"))
+        apart = _linkable(texts, checkpoint(now.join(several, "component").select("doc_id", "part", "n").distinct()), n, percent)
         links = so_far.select(F.col("node").alias("a"), F.col("component").alias("b"))
         if not apart.isEmpty():
             links = links.union(_verify(texts, _between_parts(texts, apart, n, percent, common, block_grams), n, percent))
