@@ -46,3 +46,14 @@ def vector(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
     """Back to one array per key, by dimension."""
     at = F.sort_array(F.collect_list(F.struct("dim", F.col(value).alias("x"))))
     return df.groupBy(*keys).agg(F.transform(at, lambda e: e["x"]).alias(name))
+
+
+def input_vector(modalities: tuple[str, ...]):
+    """One array: mean, deviation and coverage of each modality, in the modalities' order (columns <name>_mean, _std,
+    _cover)."""
+    return F.concat(*(F.col(f"{m}_{part}") for m in modalities for part in ("mean", "std", "cover")))
+
+
+def window_row(modalities: tuple[str, ...]):
+    """One window's values of all modalities, in their order."""
+    return F.concat(*map(F.col, modalities))

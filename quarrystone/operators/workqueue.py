@@ -7,18 +7,28 @@ from pyspark.sql import functions as F
 
 STATUSES = ("queued", "running", "succeeded", "failed", "cancelled")
 
-#: (machine, status, event, next, action): the state machines as one table.
+# The state machines as one table (machine, status, event, next, action).
 TRANSITIONS = (
-    ("video", "discovered", "stable", "queued", "enqueue"), ("video", "queued", "claim", "processing", "probe"),
-    ("video", "processing", "copied", "completed", "publish"), ("video", "processing", "transcoded", "completed", "publish"),
-    ("video", "processing", "error", "failed", "record"), ("video", "processing", "restart", "queued", "recover"),
-    ("image", "discovered", "stable", "queued", "enqueue"), ("image", "queued", "claim", "processing", "extract"),
-    ("image", "processing", "compressed", "publishing", "verify"), ("image", "publishing", "published", "completed", "clean"),
-    ("image", "processing", "error", "failed", "record"), ("image", "publishing", "conflict", "conflict", "hold"),
-    ("download", "0", "prepare", "1", "start"), ("download", "1", "submitted", "2", "wait"),
-    ("download", "2", "file_exists", "9", "finish"), ("download", "1", "error", "4", "record"), ("download", "2", "error", "4", "record"),
-    ("transfer", "planned", "verified", "destination_verified", "publish"), ("transfer", "destination_verified", "published", "published", "clean"),
-    ("transfer", "published", "cleaned", "source_cleaned", "finish"), ("transfer", "planned", "differs", "conflict", "hold"),
+    ("video", "waiting_stable", "unchanged", "ready", "count_check"), ("video", "waiting_stable", "changed", "waiting_stable", "reset_checks"),
+    ("video", "ready", "unchanged", "ready", "keep"), ("video", "ready", "changed", "waiting_stable", "reset_checks"),
+    ("video", "failed", "unchanged", "failed", "keep"), ("video", "failed", "changed", "waiting_stable", "reset_checks"),
+    ("video", "completed", "unchanged", "waiting_stable", "start_again"), ("video", "completed", "changed", "waiting_stable", "start_again"),
+    ("video", "ready", "claim", "processing", "count_attempt"), ("video", "ready", "error", "failed", "record"),
+    ("video", "processing", "prepared", "validating", "record_output"), ("video", "validating", "published", "cleanup_pending", "record_output"),
+    ("video", "cleanup_pending", "cleaned", "completed", "clear_error"),
+    ("video", "processing", "error", "failed", "record"), ("video", "validating", "error", "failed", "record"), ("video", "cleanup_pending", "error", "failed", "record"),
+    ("image", "waiting_stable", "unchanged", "ready", "count_check"), ("image", "waiting_stable", "changed", "waiting_stable", "reset_checks"),
+    ("image", "waiting_stable", "gone", "failed", "record"), ("image", "ready", "claim", "moving", "count_attempt"),
+    ("image", "moving", "moved", "processing", "record_start"), ("image", "processing", "compressed", "publishing", "record_manifest"),
+    ("image", "publishing", "published", "cleanup_pending", "record_output"), ("image", "cleanup_pending", "cleaned", "completed", "clear_error"),
+    ("image", "failed", "retry", "processing", "count_attempt"),
+    ("image", "moving", "error", "failed", "record"), ("image", "processing", "error", "failed", "record"), ("image", "publishing", "error", "failed", "record"),
+    ("image", "cleanup_pending", "error", "failed", "record"), ("image", "cleanup_pending", "io_error", "cleanup_pending", "record"),
+    ("download", "0", "imported", "1", "prepare"), ("download", "1", "imported", "1", "renew"), ("download", "4", "imported", "1", "renew"),
+    ("download", "1", "claim", "2", "submit"), ("download", "2", "rejected", "4", "record"), ("download", "2", "file_exists", "9", "finish"),
+    ("transfer", "planned", "staged", "destination_verified", "commit"), ("transfer", "planned", "foreign_staging", "conflict", "hold"),
+    ("transfer", "destination_verified", "linked", "published", "track"), ("transfer", "published", "cleaned", "source_cleaned", "finish"),
+    ("transfer", "published", "changed", "conflict", "hold"),
 )
 
 
@@ -30,11 +40,15 @@ def transitioned(rows: DataFrame, machine: str) -> DataFrame:
 
 
 def claimed(tasks: DataFrame, order: list[str], running: Column, caps: dict[str, int]) -> DataFrame:
-    """Queued tasks that the caps of their kind admit, first come first served."""
-    limit = F.coalesce(*(F.when(F.col("kind") == k, F.lit(n)) for k, n in caps.items()), F.lit(0))
-    busy = F.sum(running.cast("int")).over(Window.partitionBy("kind"))
-    place = F.row_number().over(Window.partitionBy("kind", "status").orderBy(*order))
-    return tasks.withColumn("__busy", busy).withColumn("__place", place).where((F.col("status") == "queued") & (F.col("__place") <= limit - F.col("__busy"))).drop("__busy", "__place")
+    """Queued tasks that the caps of their kind admit, first come first served: as many of each kind as the cap leaves
+    beside those that run, found by a top-k a kind (kinds are those of caps)."""
+    busy = {r["kind"]: r["n"] for r in tasks.where(running).groupBy("kind").agg(F.count("*").alias("n")).where(F.col("kind").isin(*caps)).collect()}
+    out = tasks.where("false")
+    for kind, most in caps.items():
+        room = most - busy.get(kind, 0)
+        if room > 0:
+            out = out.unionByName(tasks.where((F.col("status") == "queued") & (F.col("kind") == kind)).orderBy(*order).limit(room))
+    return out
 
 
 def compare_and_set(rows: DataFrame, row_id: str, wanted: DataFrame, old: str, new: str) -> DataFrame:

@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import analytics, relational, workflow  # noqa: F401
+from . import analytics, mission_plans, relational, workflow  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES  # noqa: F401

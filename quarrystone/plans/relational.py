@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import joins, lineage, sequence
+from ..operators import joins, lineage, missions, sequence
 from .registry import query
 
 
@@ -163,18 +163,19 @@ def ambiguous_lookup(t):
     return joins.looked_up(t.nation.select("n_nationkey"), table, "n_nationkey", "p_partkey").select("n_nationkey", "matches", "p_partkey")
 
 
-@query("SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey WHERE starts_with(a.n_name, b.n_name[1:1]) OR starts_with(b.n_name, a.n_name[1:1])")
+@query("""WITH x AS (SELECT s_suppkey AS id, '/r' || s_nationkey || CASE WHEN s_suppkey % 3 = 0 THEN '' WHEN s_suppkey % 3 = 1 THEN '/a' || s_suppkey % 4 ELSE '/a' || s_suppkey % 4 || '/b' || s_suppkey % 2 END AS path FROM supplier)
+SELECT o.id AS outer_id, i.id AS inner_id FROM x o JOIN x i ON o.id <> i.id AND (starts_with(i.path, o.path || '/') OR (o.path = i.path AND o.id < i.id))""")
 def pair_overlap(t):
-    a = t.nation.select(F.col("n_nationkey").alias("a"), F.col("n_name").alias("x"), "n_regionkey")
-    b = t.nation.select(F.col("n_nationkey").alias("b"), F.col("n_name").alias("y"), "n_regionkey")
-    first = lambda c: F.substring(c, 1, 1)
-    return a.join(b, "n_regionkey").where((F.col("a") < F.col("b")) & (first("x") == first("y"))).select("a", "b")
+    k = F.col("s_suppkey")
+    a = F.concat(F.lit("/a"), (k % 4).cast("string"))
+    tail = F.when(k % 3 == 0, "").when(k % 3 == 1, a).otherwise(F.concat(a, F.lit("/b"), (k % 2).cast("string")))
+    return missions.nested_paths(t.supplier.select(k.alias("id"), F.concat(F.lit("/r"), F.col("s_nationkey").cast("string"), tail).alias("path")), "id", "path")
 
 
 @query("""SELECT a.vec_id, b.vec_id AS other_id, round(list_cosine_similarity(a.embedding, b.embedding)::DOUBLE, 4) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.embedding, b.embedding) > 0.4""")
 def cosine_dedup_pairs(t):
     e = t.embeddings
-    p = joins.cosine_pairs(e, e.withColumnRenamed("vec_id", "other_id"), "vec_id", "other_id", "embedding", (F.col("vec_id") < F.col("other_id")) & (F.col("similarity") > 0.4))
+    p = joins.cosine_pairs(e, e.withColumnRenamed("vec_id", "other_id"), "vec_id", "other_id", "embedding", (F.col("vec_id") < F.col("other_id")) & (F.col("similarity") > 0.4), least=0.4)
     return p.withColumn("similarity", F.round("similarity", 4))
 
 
@@ -182,7 +183,7 @@ def cosine_dedup_pairs(t):
 SELECT vec_id, arg_max(other_id, s) AS other_id, round(max(s), 4) AS similarity FROM p GROUP BY vec_id""")
 def cosine_nn(t):
     e = t.embeddings
-    p = joins.cosine_pairs(e.where("vec_id % 50 = 0"), e.withColumnRenamed("vec_id", "other_id"), "vec_id", "other_id", "embedding", F.col("vec_id") != F.col("other_id"))
+    p = joins.cosine_pairs(e.where("vec_id % 50 = 0"), e.withColumnRenamed("vec_id", "other_id"), "vec_id", "other_id", "embedding", F.col("vec_id") != F.col("other_id"), best=2)  # itself and the nearest
     return joins.nearest(p, "vec_id", "other_id").withColumn("similarity", F.round("similarity", 4))
 
 
@@ -211,9 +212,9 @@ def distinct_per_group(t):
     return t.events.groupBy("event_type").agg(F.countDistinct("user_id").alias("users"))
 
 
-@query("SELECT o_custkey, min(o_orderdate) AS first_order, count(*) AS n FROM orders GROUP BY 1 ORDER BY 2, 1 LIMIT 100")
+@query("SELECT o_custkey, min(o_orderdate) AS first_order, count(*) AS n FROM orders GROUP BY 1")
 def min_sorted_groups(t):
-    return t.orders.groupBy("o_custkey").agg(F.min("o_orderdate").alias("first_order"), F.count("*").alias("n")).orderBy("first_order", "o_custkey").limit(100)
+    return t.orders.groupBy("o_custkey").agg(F.min("o_orderdate").alias("first_order"), F.count("*").alias("n")).orderBy("first_order", "o_custkey")
 
 
 @query("SELECT coalesce(min(c_acctbal), 0) AS low, coalesce(max(c_acctbal), 0) AS high, coalesce(max(c_acctbal) FILTER (c_custkey < 0), 0) AS none FROM customer")
@@ -256,9 +257,9 @@ def latest_per_kind(t):
     return sequence.ranked_one(t.orders, ["o_orderpriority"], [F.col("o_orderdate").desc(), F.col("o_orderkey")]).select("o_orderpriority", "o_orderkey")
 
 
-@query("SELECT DISTINCT l_shipdate, l_returnflag FROM lineitem ORDER BY 1, 2 LIMIT 500")
+@query("SELECT DISTINCT l_shipdate, l_returnflag FROM lineitem")
 def distinct_sorted(t):
-    return t.lineitem.select("l_shipdate", "l_returnflag").distinct().orderBy("l_shipdate", "l_returnflag").limit(500)
+    return t.lineitem.select("l_shipdate", "l_returnflag").distinct().orderBy("l_shipdate", "l_returnflag")
 
 
 @query("SELECT user_id FROM events WHERE event_type = 'view' EXCEPT SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 80")

@@ -92,13 +92,17 @@ def reconcile_scan(t):
 
 
 # --- queues --------------------------------------------------------------------------------------------------------
-_STATES = "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'processing' WHEN 'O' THEN 'queued' ELSE 'discovered' END AS status, CASE o_orderkey % 4 WHEN 0 THEN 'claim' WHEN 1 THEN 'error' WHEN 2 THEN 'copied' ELSE 'stable' END AS event FROM orders"
+_VIDEO = """(VALUES ('waiting_stable', 'unchanged', 'ready', 'count_check'), ('waiting_stable', 'changed', 'waiting_stable', 'reset_checks'), ('ready', 'unchanged', 'ready', 'keep'),
+('ready', 'changed', 'waiting_stable', 'reset_checks'), ('failed', 'unchanged', 'failed', 'keep'), ('failed', 'changed', 'waiting_stable', 'reset_checks'),
+('completed', 'unchanged', 'waiting_stable', 'start_again'), ('completed', 'changed', 'waiting_stable', 'start_again'), ('ready', 'claim', 'processing', 'count_attempt'), ('ready', 'error', 'failed', 'record'),
+('processing', 'error', 'failed', 'record'))"""
 
 
-@query("WITH s AS (" + _STATES + "), t(status, event, next, action) AS (VALUES " + ", ".join(repr(x[1:]) for x in workqueue.TRANSITIONS if x[0] == "video") + ") SELECT o_orderkey, s.status, s.event, coalesce(t.next, s.status) AS next, coalesce(t.action, 'reject') AS action FROM s LEFT JOIN t ON s.status = t.status AND s.event = t.event")
+@query(f"""WITH s AS (SELECT o_orderkey, list_extract(['waiting_stable', 'ready', 'processing', 'completed', 'failed'], CAST(o_custkey % 5 + 1 AS BIGINT)) AS status, list_extract(['unchanged', 'changed', 'claim', 'error'], CAST(o_orderkey % 4 + 1 AS BIGINT)) AS event FROM orders), t(status, event, next, action) AS {_VIDEO}
+SELECT o_orderkey, s.status, s.event, coalesce(t.next, s.status) AS next, coalesce(t.action, 'reject') AS action FROM s LEFT JOIN t ON s.status = t.status AND s.event = t.event""")
 def transition_table(t):
-    s, k = F.col("o_orderstatus"), F.col("o_orderkey") % 4
-    x = t.orders.select("o_orderkey", F.when(s == "F", "processing").when(s == "O", "queued").otherwise("discovered").alias("status"), F.when(k == 0, "claim").when(k == 1, "error").when(k == 2, "copied").otherwise("stable").alias("event"))
+    pick = lambda values, i: F.array(*map(F.lit, values))[i.cast("int")]
+    x = t.orders.select("o_orderkey", pick(["waiting_stable", "ready", "processing", "completed", "failed"], F.col("o_custkey") % 5).alias("status"), pick(["unchanged", "changed", "claim", "error"], F.col("o_orderkey") % 4).alias("event"))
     return workqueue.transitioned(x, "video").select("o_orderkey", "status", "event", "next", "action")
 
 

@@ -213,3 +213,48 @@ def test_filestat(spark, tmp_path):
     row = spark.read.format("filestat").option("path", str(tmp_path)).load().first()
     assert row.size_bytes == 3 and row.modified_ns == (tmp_path / "a.mp4").stat().st_mtime_ns
     assert listed(spark, {"r": str(tmp_path)}, "*.mp4").first().role == "r"
+
+
+@pytest.mark.parametrize(("value", "line", "want"), [("a1", "a1 ba1 a1c (a1)", "[REDACTED] ba1 a1c ([REDACTED])"), ("a1b2", "xa1b2y", "x[REDACTED]y"), ("é1", "é1 aé1", "[REDACTED] aé1")])
+def test_redaction_of_short_values(spark, value, line, want):
+    assert one(spark, t=S.redact(F.lit(line), (value,))).t == want
+
+
+@pytest.mark.parametrize(("line", "want"), [
+    ("Set-Cookie: a=b; x", "Cookie"), ("api_key=1", "api_key=[REDACTED]"), ("apikey : 1,2", "apikey=[REDACTED],2"), ("refresh-token=x y", "refresh-token=[REDACTED] y"), ("secrets=1", "secrets=1"), ("http://a:b@c/d", "http://[REDACTED]@c/d"), ("no secret here", "no secret here"),
+])
+def test_redaction_of_names(spark, line, want):
+    got = one(spark, t=S.redact(F.lit(line))).t
+    assert got == want or (want == "Cookie" and got == "Set-Cookie=[REDACTED]; x")
+
+
+def test_names_are_composed(spark):
+    apart, one_sign = "e\u0301t.mp4", "\u00e9t.mp4"
+    r = one(spark, a=S.safe_name(F.lit(apart)), b=S.safe_name(F.lit(one_sign)), c=S.path_key(F.lit("/x/" + apart)), d=S.path_key(F.lit("/x/" + one_sign)))
+    assert r.a == r.b == one_sign and r.c == r.d
+
+
+def test_kernel_keeps_what_can_count():
+    import pandas as pd
+
+    from quarrystone.functions.blocks import product_blocks
+
+    rng = np.random.default_rng(3)
+    u = rng.normal(size=(40, 6))
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    x, y = pd.DataFrame({"id": range(15), "u": list(u[:15])}), pd.DataFrame({"id": range(100, 125), "u": list(u[15:])})
+    every = product_blocks(x, y)
+    assert len(every) == 15 * 25
+    near = product_blocks(x, y, least=0.3)
+    assert set(zip(near.a, near.b)) == set(zip(every.a[every.similarity >= 0.3], every.b[every.similarity >= 0.3]))
+    two = product_blocks(x, y, best=2)
+    want = every.sort_values(["a", "similarity"], ascending=[True, False]).groupby("a").head(2)
+    assert set(zip(two.a, two.b)) == set(zip(want.a, want.b))
+
+
+def test_dispatch_takes_the_first_of_each_kind(spark):
+    rows = [(i, "ab"[i % 2], "queued" if i % 3 else "running") for i in range(20)]
+    t = spark.createDataFrame(rows, "id long, kind string, status string")
+    got = {r.id for r in workqueue.claimed(t, ["id"], F.col("status") == "running", {"a": 7, "b": 1}).collect()}
+    want = [i for i, k, s in rows if k == "a" and s == "queued"][: 7 - sum(k == "a" and s == "running" for _, k, s in rows)]
+    assert got == set(want)
