@@ -11,8 +11,14 @@ from pyspark.sql import functions as F
 from .common import checkpoint, whole
 from .spans import match_spans
 
-#: A run of key characters of twelve or more; with a digit, as ordinary words have none.
+# Candidates: what follows the name of a secret and a sign, of six characters or more, whatever they are; runs with a
+# provider's prefix; and any run of twelve or more key characters with a digit, as ordinary words have none.
+NAMED = r"(?i)(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|bearer|credential|private[_-]?key)[\"']?[ \t]{0,2}(?:=>|:=|=|:)[ \t]{0,2}[\"']?"
+VALUE = r"[^\s\"'`,;<>()]{5,}[^\s\"'`,;<>().!?:]"
+PREFIXED = r"(?<![A-Za-z0-9_])(?:AKIA|ASIA|ghp_|gho_|ghs_|glpat-|sk_live_|xox[abp]-|AIza|SG_|npm_|dop_v1_)[A-Za-z0-9_\-]{12,}"
 CANDIDATE = r"(?<![A-Za-z0-9_+/\-])(?=[A-Za-z_+/\-]*+[0-9])[A-Za-z0-9_+/\-]{12,}+={0,2}"
+#: All three; the first two are only tried on texts that hold one of them, as looking back from each character is slow.
+WIDE = rf"(?<={NAMED}){VALUE}|{PREFIXED}|{CANDIDATE}"
 BEFORE, AFTER = 40, 24
 
 # Words of the trade, as patterns.
@@ -52,9 +58,9 @@ def features(value: Column, before: Column, after: Column) -> list[Column]:
     return [made[f].cast("double").alias(f) for f in FEATURES]
 
 
-def seed_findings(spark: SparkSession, rows: int = 6_000) -> DataFrame:
+def seed_findings(spark: SparkSession, rows: int = 9_000) -> DataFrame:
     """Labelled findings (value, before, after, secret) made by rule: kinds of keys with the words they come with, and
-    what is taken for keys: hashes, ids, card and serial numbers, identifiers, paths, placeholders."""
+    what is taken for keys: hashes, ids, card and serial numbers, identifiers, paths, placeholders, plain words."""
     h = lambda salt: F.sha2(F.concat_ws(":", F.lit(salt), F.col("id").cast("string")), 256)
     pick = lambda salt, choices: F.element_at(F.array(*map(F.lit, choices)), (F.pmod(F.xxhash64(F.lit(salt), "id"), F.lit(len(choices))) + 1).cast("int"))
     mixed_case = lambda salt: F.regexp_replace(F.base64(F.unhex(h(salt))), "[=]", "")
@@ -80,11 +86,19 @@ def seed_findings(spark: SparkSession, rows: int = 6_000) -> DataFrame:
         (F.concat(word("a"), F.lit("/"), word("b"), F.lit("/"), word("c"), F.substring(digits("d"), 1, 3)), F.concat(prose, pick("r", ["", "./", "https://", "/usr/"])), pick("e", [" ", ".html", ".png"]), 0),
         (pick("x", ["EXAMPLEKEY1234567890", "your-api-key-here-123", "xxxxxxxxxxxxxxx1", "changeme1234567", "dummy_token_000000", "test_password_12345"]), F.concat(prose, key, sign), F.lit(""), 0),
         (F.concat(F.lit("20"), F.substring(digits("a"), 1, 2), F.lit("-01-02-"), word("b"), F.lit("-"), word("c")), prose, F.lit(" "), 0),
+        (F.substring(F.regexp_replace(mixed_case("a"), "[^A-Za-z]", "q"), F.lit(1), size("l", 16, 40)), F.concat(prose, key, sign), F.lit(""), 1),
+        (F.concat(F.initcap(word("a")), F.initcap(word("b")), F.initcap(word("c"))), F.concat(prose, pick("w", ["password", "passwd", "passphrase", "pwd"]), sign), F.lit(""), 1),
+        (F.concat(F.initcap(F.translate(word("a"), "aeo", "430")), pick("y", ["!", "&", "$", "#", "%"]), F.substring(digits("d"), 1, 3)), F.concat(prose, pick("w", ["password", "passwd", "pwd"]), sign), F.lit(""), 1),
+        (F.concat(word("a"), F.substring(digits("d"), 1, 2), F.substring(h("e"), 1, 2)), F.concat(prose, pick("w", ["password", "passwd", "pwd"]), sign), F.lit(""), 1),
+        (F.concat(F.lit("AKIA"), F.substring(F.regexp_replace(upper("a"), "[0-9]", "Q"), 1, 16)), prose, F.lit(" "), 1),
+        (F.concat(word("a"), pick("z", ["ing", "ation", "able", "ed", "ment", "ly", ""])), F.concat(prose, key, sign), pick("e", [" ", ".", "\n"]), 0),
+        (F.concat(word("a"), pick("j", [".", "_", "-"]), word("b")), F.concat(prose, key, sign), F.lit(" "), 0),
+        (pick("x", ["required", "optional", "undefined", "unknown", "changeme", "expired", "invalid", "missing", "hidden", "<none>"]), F.concat(prose, key, sign), pick("e", [" ", ".", ""]), 0),
     ]
     shape = F.lit(None).cast("struct<value:string,before:string,after:string,secret:int>")
     for i, (v, b, a, y) in enumerate(kinds):
         shape = F.when(F.pmod(F.col("id"), F.lit(len(kinds))) == i, F.struct(v.alias("value"), b.alias("before"), a.alias("after"), F.lit(y).alias("secret"))).otherwise(shape)
-    return spark.range(0, rows, 1, 4).select(shape.alias("x")).select("x.*").where(F.length("value") >= 12)
+    return spark.range(0, rows, 1, 4).select(shape.alias("x")).select("x.*").where(F.length("value") >= 6)
 
 
 def fit_forest(findings: DataFrame, trees: int = 24, depth: int = 8, seed: int = 5) -> RandomForestClassificationModel:
@@ -97,8 +111,11 @@ def fit_forest(findings: DataFrame, trees: int = 24, depth: int = 8, seed: int =
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, start, end (code points), value, before, after."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(F.col(text_col)).alias("text"))
-    some = texts.where(F.col("text").rlike(CANDIDATE))
-    found = some.select("doc_id", "text", F.explode(match_spans(F.col("text"), CANDIDATE)).alias("s"))
+    text = F.col("text")
+    rare = text.rlike(f"{NAMED}{VALUE}") | text.rlike(PREFIXED)
+    some = texts.withColumn("rare", rare).where(F.col("rare") | text.rlike(CANDIDATE))
+    spans = F.when(F.col("rare"), match_spans(text, WIDE)).otherwise(match_spans(text, CANDIDATE))
+    found = some.select("doc_id", "text", F.explode(spans).alias("s"))
     start = F.col("s.start")
     return found.select(
         "doc_id", start.alias("start"), F.col("s.end").alias("end"), F.col("s.value").alias("value"),
