@@ -53,6 +53,39 @@ def whole(col):
     return F.coalesce(col, F.lit(""))
 
 
+def tidy(task):
+    """A mapInArrow function that keeps library thread pools off and, when its task is done, returns memory to the
+    system: idle Python workers stay with the executor and would hold it."""
+
+    def run(batches):
+        single_thread()
+        try:
+            yield from task(batches)
+        finally:
+            release_memory()
+
+    return run
+
+
+def one_by_one(column):
+    """The values of an Arrow column, never all at once as Python objects."""
+    return (x.as_py() for x in column)
+
+
+def release_memory() -> None:
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def by_key(rows: DataFrame, known: DataFrame, key: str, count: str) -> DataFrame:
     """rows joined with known (key, count and others; one row a key), where count tells how many rows a key has: the most frequent keys are
     broadcast, so that their rows stay where they lie; the others' rows are dealt by key."""

@@ -23,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_key, checkpoint, connected_components, partitions, single_thread, whole
+from .common import by_key, checkpoint, connected_components, one_by_one, partitions, tidy, whole
 
 SIGNED, EQUAL, SIZES, LINKED, NEAR = range(5)
-FLUSH = 1 << 20
+FLUSH = 1 << 18
 #: N-grams of a block that one prefix tree holds (one document may have more), and documents that all chunks share.
 BLOCK_GRAMS = 1 << 17
 ANCHORS = 16
@@ -81,15 +81,14 @@ def common_hashes(texts: DataFrame, n: int, sample: int = SAMPLE, most: int = MO
     rows = texts.where((F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0) & (F.length("text") <= 20_000)).select("text")
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        single_thread()
         grams = ngrams_of(n)
         for batch in batches:
-            for text in batch.column("text").to_pylist():
+            for text in one_by_one(batch.column("text")):
                 h = grams.of(text)
                 if len(h):
                     yield pa.record_batch([pa.array(h.view(np.int64), pa.int64())], ["h"])
 
-    counted = rows.mapInArrow(hashes, "h long").groupBy("h").count().where("count >= 3")
+    counted = rows.mapInArrow(tidy(hashes), "h long").groupBy("h").count().where("count >= 3")
     held = counted.orderBy(F.col("count").desc(), "h").limit(most).select("h").toArrow()["h"]
     return np.sort(held.to_numpy().astype(np.int64).view(np.uint64))
 
@@ -102,7 +101,6 @@ def ngrams_of(n: int):
 
 def _sign(n: int, percent: int, buckets: int, common):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        single_thread()
         import xxhash
         from pyspark import TaskContext
 
@@ -142,7 +140,7 @@ def _sign(n: int, percent: int, buckets: int, common):
                 yield _batch(rows[i : i + 512])
 
         for batch in batches:
-            for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            for i, text in zip(batch.column("doc_id").to_pylist(), one_by_one(batch.column("text")), strict=True):
                 h = grams.of(text)
                 if i is None:
                     nulls.append(len(h))
@@ -173,7 +171,6 @@ def _sign(n: int, percent: int, buckets: int, common):
 def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """All rows of some ranges of signatures -> (kind, a, b): sizes, exact links, candidate edges (these, with the exact
     links among them, as stars)."""
-    single_thread()
     held: dict[int, list] = {k: [] for k in range(5)}
     near: list[tuple[np.ndarray, np.ndarray]] = []
     for batch in batches:
@@ -216,7 +213,6 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _trees(n: int, percent: int):
     def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows sorted by block -> verified links that join each block's components."""
-        single_thread()
         from .trie_join import NGrams, linked_forest
 
         grams, block, ids, sets, out = NGrams(n), None, [], [], []
@@ -228,7 +224,7 @@ def _trees(n: int, percent: int):
             sets.clear()
 
         for batch in batches:
-            for key, i, text in zip(batch.column("block").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            for key, i, text in zip(batch.column("block").to_pylist(), batch.column("doc_id").to_pylist(), one_by_one(batch.column("text")), strict=True):
                 if key != block:
                     close()
                     block = key
@@ -267,7 +263,6 @@ def _all_grams(n: int):
     """(doc_id, text, part, n) -> (h, doc_id, part, n): all n-grams."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        single_thread()
         yield from _spread(batches, ngrams_of(n).of, "h")
 
     return spread
@@ -277,7 +272,6 @@ def _minima(n: int):
     """(doc_id, text, part, n) -> (sig, doc_id, part, n): the least n-gram hash in each of ALIKE orders."""
 
     def minima(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        single_thread()
         from .trie_join import M1, mixed
 
         grams, salts = ngrams_of(n), [np.uint64((2 * j + 1) * int(M1) & 0xFFFFFFFFFFFFFFFF) for j in range(ALIKE)]
@@ -295,7 +289,6 @@ def _sign_again(n: int, percent: int, common):
     """(doc_id, text, part, n) -> (sig, doc_id, part, n): all signatures, as in the first pass."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        single_thread()
         from .trie_join import NGrams, Signatures
 
         grams, signatures = NGrams(n), Signatures(percent, common.value)
@@ -309,14 +302,14 @@ def _verify(texts: DataFrame, members: DataFrame, n: int, percent: int) -> DataF
     together."""
     got = _texts_of(texts, members).select("block", "doc_id", "text")
     dealt = got.repartition(partitions(texts.sparkSession), "block").sortWithinPartitions("block", "doc_id")
-    return dealt.mapInArrow(_trees(n, percent), "a long, b long")
+    return dealt.mapInArrow(tidy(_trees(n, percent)), "a long, b long")
 
 
 def _alike(texts: DataFrame, inside: DataFrame, n: int, limit: int) -> DataFrame:
     """inside (doc_id, part, n) of components too large for one tree -> (block, doc_id): documents with the same minimum
     hash, of ALIKE kinds, meet, so that nearly all that are linked do. Blocks that are still too large are cut into
     chunks, all with the same few anchors, so that what is linked to them comes together."""
-    marked = checkpoint(_texts_of(texts, inside).select("doc_id", "text", "part", "n").mapInArrow(_minima(n), "sig long, doc_id long, part long, n long"))
+    marked = checkpoint(_texts_of(texts, inside).select("doc_id", "text", "part", "n").mapInArrow(tidy(_minima(n)), "sig long, doc_id long, part long, n long"))
     sizes = marked.groupBy("sig").agg(F.count("*").alias("docs"), F.sum("n").alias("weight")).where("docs > 1")
     chunks = F.ceil(F.col("weight") / limit).cast("int")
     # anchors are short, so that they take at most half of a chunk
@@ -341,7 +334,7 @@ def _linkable(texts: DataFrame, parts: DataFrame, n: int, percent: int) -> DataF
     """Of parts (doc_id, part, n), the documents that can be linked with another part at all: linked sets share at least
     percent of the n-grams of each, so as many of a document's n-grams must be held by other parts. What unrelated
     documents have in common (lines, passages) is mostly less."""
-    held = checkpoint(_texts_of(texts, parts).select("doc_id", "text", "part", "n").mapInArrow(_all_grams(n), "h long, doc_id long, part long, n long"))
+    held = checkpoint(_texts_of(texts, parts).select("doc_id", "text", "part", "n").mapInArrow(tidy(_all_grams(n)), "h long, doc_id long, part long, n long"))
     shared = held.groupBy("h").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("docs")).where("low <> high")
     counted = by_key(held, checkpoint(shared.select("h", "docs")), "h", "docs").groupBy("doc_id", "part", "n").count()
     return checkpoint(counted.where(F.col("count") * 100 >= F.col("n") * percent).select("doc_id", "part", "n"))
@@ -353,7 +346,7 @@ def _between_parts(texts: DataFrame, parts: DataFrame, n: int, percent: int, com
     Components of the shared signatures are blocks. One that is too large is dealt as a whole, chunk by chunk, or
     signature by signature, whichever deals fewer n-grams.
     """
-    signed = checkpoint(_texts_of(texts, parts).select("doc_id", "text", "part", "n").mapInArrow(_sign_again(n, percent, common), "sig long, doc_id long, part long, n long"))
+    signed = checkpoint(_texts_of(texts, parts).select("doc_id", "text", "part", "n").mapInArrow(tidy(_sign_again(n, percent, common)), "sig long, doc_id long, part long, n long"))
     mixed = signed.groupBy("sig").agg(
         F.min("part").alias("low"), F.max("part").alias("high"), F.sum("n").alias("weight"), F.count("*").alias("docs"), F.bit_xor(F.xxhash64("doc_id")).alias("same"), F.min("doc_id").alias("lead")
     ).where("low <> high")
@@ -387,8 +380,8 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(F.col(text_col)).alias("text"))
     parts = partitions(spark)
     common = spark.sparkContext.broadcast(common_hashes(texts, n))
-    dealt = texts.mapInArrow(_sign(n, percent, 4 * parts, common), "bucket int, kind int, a binary, b binary").repartition(parts, "bucket")
-    found = checkpoint(dealt.mapInArrow(_match, "kind int, a long, b long"))
+    dealt = texts.mapInArrow(tidy(_sign(n, percent, 4 * parts, common)), "bucket int, kind int, a binary, b binary").repartition(parts, "bucket")
+    found = checkpoint(dealt.mapInArrow(tidy(_match), "kind int, a long, b long"))
     exact = found.where(F.col("kind") == LINKED).select("a", "b")
     own = found.where(F.col("kind") == SIZES).select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"))
     # of equal sets, only the first goes on

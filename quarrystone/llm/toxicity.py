@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import single_thread, whole
+from .common import one_by_one, tidy, whole
 from .labelled import id_remainder, labelled_rows
 
 WINDOW_WORDS = 6
@@ -58,31 +58,43 @@ def without_copies(sample: list[tuple[str, int]]) -> list[tuple[str, int]]:
 
 
 class Pieces:
-    """The pieces of words (seven bytes, with the blanks beside the word) that each text of a sample holds, by number."""
+    """The pieces of words (seven bytes, with the blanks beside the word) that each text of a sample holds. Pieces of
+    fewer than FEWEST texts can't be telling and are left out."""
+
+    FEWEST = 4
 
     def __init__(self, texts: list[str]):
-        self.numbers: dict[bytes, int] = {}
         of_word: dict[bytes, np.ndarray] = {}
-        self.held = []
+        held = []
         for text in texts:
             found = []
             for w in set(_words(text)):
                 if w not in of_word:
-                    of_word[w] = np.array([self.numbers.setdefault(p, len(self.numbers)) for p in {b for _, b in pieces(w)}], np.int64)
+                    of_word[w] = np.array([int.from_bytes(p.ljust(8, b"\0"), "big") for _, p in pieces(w)], np.uint64)
                 found.append(of_word[w])
-            self.held.append(np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64))
-        self.names = list(self.numbers)
+            held.append(np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64))
+        of_word.clear()
+        codes, counts = np.unique(np.concatenate([*held, np.zeros(0, np.uint64)]), return_counts=True)
+        self.codes = codes[counts >= self.FEWEST]
+        self.held = [self._places(h) for h in held]
+
+    def _places(self, h: np.ndarray) -> np.ndarray:
+        if not len(self.codes):
+            return np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(self.codes, h), len(self.codes) - 1)
+        return at[self.codes[at] == h]
 
     def telling(self, rows: np.ndarray, toxic: np.ndarray) -> set[bytes]:
         """Pieces that toxic texts among ``rows`` hold TIMES as often as ordinary ones, with a G-squared of EVIDENCE."""
-        count = lambda which: np.bincount(np.concatenate([self.held[i] for i in which] or [np.zeros(0, np.int64)]), minlength=len(self.names))
+        count = lambda which: np.bincount(np.concatenate([self.held[i] for i in which] or [np.zeros(0, np.int64)]), minlength=len(self.codes))
         a, b = rows[toxic[rows]], rows[~toxic[rows]]
         n, m, x, y = len(a), len(b), count(a).astype(float), count(b).astype(float)
         if not n or not m:
             return set()
         with np.errstate(divide="ignore", invalid="ignore"):
             g = 2 * (x * np.log(x / ((x + y) * n / (n + m))) + np.where(y > 0, y * np.log(y / ((x + y) * m / (n + m))), 0))
-        return {self.names[i] for i in np.flatnonzero((x / n > TIMES * y / m) & (x > 0) & (g >= EVIDENCE))}
+        told = np.flatnonzero((x / n > TIMES * y / m) & (x > 0) & (g >= EVIDENCE))
+        return {int(c).to_bytes(8, "big").rstrip(b"\0") for c in self.codes[told]}
 
 
 def pieces(word: bytes) -> list[tuple[int, bytes]]:
@@ -251,17 +263,16 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     three = 2 + THRESHOLDS.index(3)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        single_thread()
         m = model.value
         d = Distances(m.toxic, m.ordinary)
         for batch in batches:
-            found = [d.of(t) for t in batch.column("text").to_pylist()]
+            found = [d.of(t) for t in one_by_one(batch.column("text"))]
             yield pa.record_batch(
                 [batch.column("doc_id"), pa.array(m.scores(found), pa.float64()), pa.array([x[0] for x in found], pa.int32()), pa.array([x[three] for x in found], pa.int32())],
                 ["doc_id", "score", "largest_distance", "toxic_windows"],
             )
 
-    scored = rows.mapInArrow(score, "doc_id long, score double, largest_distance int, toxic_windows int")
+    scored = rows.mapInArrow(tidy(score), "doc_id long, score double, largest_distance int, toxic_windows int")
     return scored.select("doc_id", (id_remainder("doc_id", modulus) == held_out).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "largest_distance", "toxic_windows")
 
 
@@ -271,7 +282,6 @@ def _fitted(docs, labels, id_col, text_col, label, modulus, held_out, per_class,
     sample, counts = labelled_rows(docs, labels, label, keep, per_class or {1: 1500, 0: 3000}, max_chars, id_col, text_col)
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        single_thread()
         once = {}
         for batch in batches:
             for i, t, y in zip(*(batch.column(c).to_pylist() for c in ("__id", "__t", "__y")), strict=True):
@@ -282,7 +292,7 @@ def _fitted(docs, labels, id_col, text_col, label, modulus, held_out, per_class,
     spark = docs.sparkSession
     if sample is None:
         return spark.sparkContext.broadcast(fit_toxicity([], counts))
-    made = sample.repartition(1).mapInArrow(fit, "model binary").first()
+    made = sample.repartition(1).mapInArrow(tidy(fit), "model binary").first()
     return spark.sparkContext.broadcast(pickle.loads(bytes(made["model"])) if made else fit_toxicity([], counts))
 
 
@@ -291,11 +301,10 @@ def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     model = _fitted(docs, labels, id_col, text_col, label, modulus, held_out, per_class, max_chars)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        single_thread()
         m = model.value
         d = Distances(m.toxic, m.ordinary)
         for batch in batches:
-            scores = m.scores([d.of(t or "") for t in batch.column(text_col).to_pylist()])
+            scores = m.scores([d.of(t or "") for t in one_by_one(batch.column(text_col))])
             yield batch.filter(pa.array(scores < cutoff))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(tidy(keep), docs.schema)
