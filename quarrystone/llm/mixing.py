@@ -191,11 +191,10 @@ def _key() -> Column:
 
 def _marked(rows: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
     """Rows with their pattern's plan (at most MAX_PATTERNS rows, broadcast), their draw and their bucket."""
-    return (
-        rows.withColumn("k", _key()).join(F.broadcast(plan), "k")
-        .withColumn("draw", F.xxhash64(F.lit(seed), "__doc", "__size"))
-        .withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed + 1), "draw"), F.col("buckets")).cast("int"))
-    )
+    mark = F.md5(F.concat_ws(":", F.lit(str(seed)), "__doc", "__size").cast("binary"))
+    number = lambda at: F.conv(F.substring(mark, at, 15), 16, 10).cast("long")
+    marked = rows.withColumn("k", _key()).join(F.broadcast(plan), "k")
+    return marked.withColumn("draw", number(1)).withColumn("bucket", F.pmod(number(17), F.col("buckets")).cast("int"))
 
 
 def _cuts(marked: DataFrame) -> DataFrame:
@@ -279,3 +278,35 @@ def mixed_documents(docs: DataFrame, weight_cycle: tuple[float, ...] = (5, 2, 1)
     )
     times = joined.withColumn("__copies", _copies(most)).where(F.col("__copies") > 0)
     return times.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies"))).select("__row.*")
+
+
+#: mix() of documents with the query's parameters: sources of one document each, all their words shared out.
+ORACLE_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce('s' || source, 'n') AS k, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, row_number() OVER () AS nr FROM documents),
+sources AS (SELECT k, any_value(source) AS source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS n FROM d GROUP BY k),
+placed AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight FROM sources),
+-- least room for its weight first: while a source's share passes its limit, it gets the limit
+tight AS (
+  SELECT *, (SELECT sum(source_size) FROM sources) - coalesce(sum(3 * source_size) OVER (ORDER BY source_size / weight, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS left_over,
+    sum(weight) OVER (ORDER BY source_size / weight, k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_weight, row_number() OVER (ORDER BY source_size / weight, k) AS place FROM placed WHERE source_size > 0),
+free AS (SELECT place, left_over, open_weight FROM tight WHERE CAST(left_over * weight AS DOUBLE) / open_weight <= 3 * source_size ORDER BY place LIMIT 1),
+targets AS (
+  SELECT t.k, CASE WHEN f.place IS NULL OR t.place < f.place THEN CAST(3 * t.source_size AS DOUBLE) ELSE CAST(f.left_over * t.weight AS DOUBLE) / CAST(f.open_weight AS DOUBLE) END AS target FROM tight t LEFT JOIN free f ON true),
+plan AS (
+  SELECT k, source_size, target, epochs, CASE WHEN epochs >= 3 THEN 0 ELSE CAST(round_even(target - epochs * source_size, 0) AS BIGINT) END AS rest, greatest(1, (n + 1999) // 2000) AS buckets
+  FROM (SELECT s.*, coalesce(t.target, 0.0) AS target, CASE WHEN source_size > 0 THEN least(3, CAST(floor(t.target / source_size) AS BIGINT)) ELSE 0 END AS epochs FROM sources s LEFT JOIN targets t USING (k))),
+marked AS (
+  SELECT d.doc_id, d.source, d.size, d.nr, p.*, CAST('0x' || substr(mark, 1, 15) AS BIGINT) AS draw, CAST('0x' || substr(mark, 17, 15) AS BIGINT) % p.buckets AS bucket
+  FROM (SELECT *, md5(concat_ws(':', '17', doc_id, size)) AS mark FROM d) d JOIN plan p USING (k)),
+held AS (SELECT k, bucket, any_value(rest) AS rest, sum(size) AS held FROM marked WHERE rest > 0 GROUP BY 1, 2),
+running AS (SELECT *, coalesce(sum(held) OVER (PARTITION BY k ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM held),
+cuts AS (SELECT k, min(bucket) AS cut, arg_min(rest - before, bucket) AS room FROM running WHERE before < rest AND before + held >= rest GROUP BY k),
+drawn AS (SELECT m.*, room, sum(size) OVER (PARTITION BY k ORDER BY draw, doc_id NULLS FIRST, nr ROWS UNBOUNDED PRECEDING) AS upto FROM marked m JOIN cuts c USING (k) WHERE bucket = cut),
+gaps AS (SELECT *, upto <= room AS fits, room - coalesce(max(upto) FILTER (upto <= room) OVER (PARTITION BY k), 0) AS gap FROM drawn),
+ranked AS (SELECT *, NOT fits AND abs(gap - size) < gap AS near, row_number() OVER (PARTITION BY k, NOT fits AND abs(gap - size) < gap ORDER BY abs(gap - size), draw, nr) AS nth FROM gaps),
+extras AS (
+  SELECT doc_id, source, size, source_size, target, epochs, CASE WHEN fits OR (near AND nth = 1) THEN 1 ELSE 0 END AS extra FROM ranked
+  UNION ALL SELECT doc_id, source, size, source_size, target, epochs, CASE WHEN cut IS NULL THEN CAST(rest > 0 AS INT) ELSE CAST(bucket < cut AS INT) END FROM marked LEFT JOIN cuts USING (k) WHERE cut IS NULL OR bucket <> cut)
+SELECT doc_id, size, source_size, target, CASE WHEN size > 0 THEN least(epochs + extra, 3) ELSE 0 END * size AS taken, CAST(CASE WHEN size > 0 THEN least(epochs + extra, 3) ELSE 0 END AS INT) AS copies, [source] AS sources FROM extras
+"""

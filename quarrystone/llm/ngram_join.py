@@ -423,3 +423,20 @@ def keep_one(docs: DataFrame, components: DataFrame, id_col: str = "doc_id", tex
     again = few(checkpoint(again))
     first = kept.join(again, own == F.col("__again"), "left_semi").groupBy(own.alias("__id")).agg(F.min_by(F.struct(*docs.columns), F.struct(whole(F.col(text_col)), F.xxhash64(*docs.columns))).alias("__row"))
     return kept.join(again, own == F.col("__again"), "left_anti").union(first.select("__row.*"))
+
+
+#: ngram_components() of documents for n = 4 and 85 percent.
+ORACLE_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 4 THEN [array_to_string(words, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' '))) END AS held FROM w),
+g AS (SELECT doc_id, len(held) AS n, unnest(held) AS shingle FROM s),
+pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k, any_value(x.n) AS n, any_value(y.n) AS m FROM g x JOIN g y ON x.shingle = y.shingle AND x.doc_id < y.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM pairs WHERE 100 * k >= 85 * (n + m - k)),
+both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach(doc_id, other) AS (SELECT doc_id, doc_id FROM s UNION SELECT r.doc_id, l.b FROM reach r JOIN both_ways l ON l.a = r.other),
+least AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY 1)
+SELECT doc_id, CAST(len(held) AS BIGINT) AS n_shingles, component_id FROM s JOIN least USING (doc_id)
+"""

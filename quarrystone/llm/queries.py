@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup
+from . import exact_dedup, mixing, ngram_join
 from .decontaminate import contaminated
 from .exact_dedup import exact_duplicates
 from .mixing import mix
@@ -76,4 +76,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_source_mix, op2_decontaminate, op3_exact_dedup, op4_token_output, op5_personal_data, op6_secret_scan, op7_token_counts, op8_toxicity, op9_ngram_join, op10_quality)
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_exact_dedup": exact_dedup.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_source_mix": mixing.ORACLE_SQL, "op3_exact_dedup": exact_dedup.ORACLE_SQL, "op9_ngram_join": ngram_join.ORACLE_SQL}
