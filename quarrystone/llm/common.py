@@ -67,6 +67,13 @@ def tidy(task):
     return run
 
 
+def slices(batches, rows: int = 1_000):
+    """Arrow batches a few rows at a time, so that what is filtered out of one is small."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def one_by_one(column):
     """The values of an Arrow column, never all at once as Python objects."""
     return (x.as_py() for x in column)

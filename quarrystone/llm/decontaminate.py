@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bm25 import Index, words_of
-from .common import single_thread, whole
+from .common import one_by_one, slices, tidy, whole
 
 #: Items (and characters of items) that one broadcast index holds; larger benchmarks take one pass a part.
 PART_ITEMS, PART_CHARS = 20_000, 16_000_000
@@ -77,7 +77,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     found = spark.createDataFrame([], kind)
     for part in _parts(benchmark, item_id, item_text):
         held = spark.sparkContext.broadcast(part)
-        found = found.union(texts.mapInArrow(_search(held, share, overlap), kind))
+        found = found.union(texts.mapInArrow(tidy(_search(held, share, overlap)), kind))
     return found
 
 
@@ -87,7 +87,7 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str =
     spark, kept = docs.sparkSession, docs
     for part in _parts(benchmark, item_id, item_text):
         held = spark.sparkContext.broadcast(part)
-        kept = kept.mapInArrow(_keep(held, share, overlap, text_col), docs.schema)
+        kept = kept.mapInArrow(tidy(_keep(held, share, overlap, text_col)), docs.schema)
     return kept
 
 
@@ -114,21 +114,19 @@ class _Searcher:
 
 def _keep(items, share: float, overlap: float, text_col: str):
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        single_thread()
         searcher = _Searcher(items.value, share, overlap)
-        for batch in batches:
-            yield batch.filter(pa.array([not searcher.of(t or "") for t in batch.column(text_col).to_pylist()], pa.bool_()))
+        for batch in slices(batches):
+            yield batch.filter(pa.array([not searcher.of(t or "") for t in one_by_one(batch.column(text_col))], pa.bool_()))
 
     return keep
 
 
 def _search(items, share: float, overlap: float):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        single_thread()
         searcher = _Searcher(items.value, share, overlap)
         for batch in batches:
             out = []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            for doc, text in zip(batch.column("doc_id").to_pylist(), one_by_one(batch.column("text")), strict=True):
                 out += [(doc, items.value[i][0], *rest) for i, *rest in searcher.of(text)]
             if out:
                 columns = list(zip(*out, strict=True))

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import one_by_one, tidy, whole
+from .common import one_by_one, slices, tidy, whole
 from .labelled import id_remainder, labelled_rows
 
 WINDOW_WORDS = 6
@@ -303,7 +303,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         d = Distances(m.toxic, m.ordinary)
-        for batch in batches:
+        for batch in slices(batches):
             scores = m.scores([d.of(t or "") for t in one_by_one(batch.column(text_col))])
             yield batch.filter(pa.array(scores < cutoff))
 
