@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last return the columns
 of documents. ORACLE_SQL is None: compression distances, BM25 retrieval and byte-level BPE have no SQL form; tests
-hold the stages against brute force instead (tests/llm/test_pipeline.py).
+hold the stages against brute force instead (tests/llm/test_mix_and_pipeline.py).
 """
 
 from __future__ import annotations
