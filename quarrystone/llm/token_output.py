@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_folder, partitions, single_thread, whole
+from .common import new_folder, one_by_one, partitions, single_thread, tidy, whole
 from .token_counts import read_config
 
 MAGIC = b"QTK1"
@@ -170,7 +170,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2,
             return pa.record_batch([pa.array([v], kind) for v, kind in columns.values()], list(columns))
 
         for batch in batches:
-            for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            for i, text in zip(batch.column("doc_id").to_pylist(), one_by_one(batch.column("text")), strict=True):
                 got = encode(text)
                 doc_ids.append(i)
                 lengths.append(len(got) + 1)
@@ -182,7 +182,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2,
         if doc_ids:
             yield flush()
 
-    dealt.mapInArrow(write, "part int, piece int, name string, documents long, tokens long").write.parquet(f"{folder}/manifest")
+    dealt.mapInArrow(tidy(write), "part int, piece int, name string, documents long, tokens long").write.parquet(f"{folder}/manifest")
     manifest = spark.read.parquet(f"{folder}/manifest")
     # one row a shard
     before = Window.orderBy("part", "piece").rowsBetween(Window.unboundedPreceding, -1)
@@ -218,7 +218,7 @@ def read_index(spark: SparkSession, manifest: DataFrame, folder: str) -> DataFra
                 )
 
     dealt = manifest.select("name", "base").repartition(partitions(spark), "name")
-    return dealt.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return dealt.mapInArrow(tidy(read), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def read_tokens(manifest_rows: list[tuple[str, int, int]], folder: str, start: int, stop: int) -> np.ndarray:
