@@ -37,9 +37,11 @@ def gaps(df: DataFrame, key: str, seq: str) -> DataFrame:
 
 
 def uncovered(df: DataFrame, key: str, start: str, end: str) -> DataFrame:
-    """Windows that the next one of their key doesn't continue (the last one is never listed)."""
-    w = Window.partitionBy(key).orderBy(start)
-    return df.withColumn("next_start", F.lead(start).over(w)).where(F.col("next_start").isNotNull() & ~F.col("next_start").eqNullSafe(F.col(end)))
+    """Windows that the next one of their key doesn't continue (the last one is never listed). Of equal starts the
+    earlier end comes first, so that an empty window goes before the one that begins where it stands; nulls come last,
+    and a window whose end or next start is null isn't listed."""
+    w = Window.partitionBy(key).orderBy(F.asc_nulls_last(start), F.asc_nulls_last(end))
+    return df.withColumn("next_start", F.lead(start).over(w)).where(F.col("next_start") != F.col(end))
 
 
 def stable_runs(df: DataFrame, key: str, order: list[str], at: str, state: list[Column]) -> DataFrame:

@@ -258,3 +258,22 @@ def test_dispatch_takes_the_first_of_each_kind(spark):
     got = {r.id for r in workqueue.claimed(t, ["id"], F.col("status") == "running", {"a": 7, "b": 1}).collect()}
     want = [i for i, k, s in rows if k == "a" and s == "queued"][: 7 - sum(k == "a" and s == "running" for _, k, s in rows)]
     assert got == set(want)
+
+
+def test_windows_with_equal_starts_and_nulls(spark, tmp_path):
+    """An empty window goes before the one that begins where it stands, in whatever order they come; nulls come last."""
+    rows = spark.createDataFrame([(1, 5.0, 9.0), (1, 5.0, 5.0), (1, 9.0, 12.0), (2, None, 3.0), (2, 1.0, 2.0), (3, 1.0, None), (3, 4.0, 5.0)], "k int, s double, e double").coalesce(1)
+    assert sequence.uncovered(rows, "k", "s", "e").collect() == []
+    import duckdb
+
+    from quarrystone.plans.catalogue import ORACLE_SQL, QUERIES
+
+    at = dt.datetime(2024, 1, 1)
+    lines = [(1, 1, 10, 1.0), (1, 2, 3, 4.0), (1, 3, 4, 5.0), (1, 4, 20, 2.0), (2, 1, 1, None), (2, 2, 2, 3.0), (2, 3, None, 4.0), (2, 4, 5, 1.0), (2, 5, 5, None), (3, None, 20, 1.0), (3, 1, 20, 7.0), (3, 2, 7, 1.0)]
+    kind = "l_orderkey long, l_linenumber int, l_partkey long, l_quantity double, l_suppkey long, l_shipdate timestamp_ntz"
+    spark.createDataFrame([(*x, 1, at) for x in lines], kind).write.parquet(f"{tmp_path}/lineitem.parquet")
+    c = duckdb.connect(config={"threads": 1})
+    c.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = c.execute(ORACLE_SQL["contiguous_windows"]).fetchall()
+    got = [tuple(r) for r in QUERIES["contiguous_windows"](spark, str(tmp_path)).collect()]
+    assert len(want) >= 2 and sorted(got, key=str) == sorted(want, key=str)
