@@ -3,7 +3,8 @@
 1. One pass over the texts: each task builds n-gram sets and signatures (trie_join.Signatures), settles equal sets and
    repeated signatures among its own rows, and deals what remains, as packed arrays by ranges of the signature.
 2. Each range finds its repeated signatures: candidate edges from the first holder, and exact edges between equal sets
-   (by a 128-bit hash). Nothing is emitted for pairs within a group, only edges to its first member.
+   (by a 128-bit hash). Nothing is emitted for pairs within a group, only edges to its first member, and the edges
+   that a document has in several ranges meet in one task, where those that join nothing new go.
 3. Components of the edges are blocks: linked sets share a signature, so they are in one block. The sets of a block go
    through one prefix tree, which gives verified links that join all its components. In components of more n-grams
    than one tree may hold, documents with equal minimum hashes meet first.
@@ -168,44 +169,72 @@ def _sign(n: int, percent: int, buckets: int, common):
     return sign
 
 
-def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All rows of some ranges of signatures -> (kind, a, b): sizes, exact links, candidate edges (these, with the exact
-    links among them, as stars)."""
-    held: dict[int, list] = {k: [] for k in range(5)}
+def _match(buckets: int):
+    """All rows of some ranges of signatures -> (bucket, kind, a, b), packed: sizes, exact links, candidate edges (these,
+    with the exact links among them, as stars, dealt by the node that isn't the star's least)."""
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        from .trie_join import mixed
+
+        home = TaskContext.get().partitionId() % buckets
+        held: dict[int, list] = {k: [] for k in range(5)}
+        near: list[tuple[np.ndarray, np.ndarray]] = []
+        for batch in batches:
+            for kind, a, b in zip(batch.column("kind"), batch.column("a"), batch.column("b"), strict=True):
+                kind = kind.as_py()
+                if kind in (SIZES, LINKED):
+                    yield _batch([(home, kind, a.as_py(), b.as_py())])
+                if kind != SIZES:
+                    held[kind].append((np.frombuffer(a.as_py(), "<u8" if kind in (SIGNED, EQUAL) else "<i8"), np.frombuffer(b.as_py(), "<i8")))
+
+        def edges(order, same, ids):
+            lead = order[np.flatnonzero(~same)[np.cumsum(~same) - 1]]
+            x = np.column_stack([ids[lead][same], ids[order][same]])
+            return np.unique(x[x[:, 0] != x[:, 1]], axis=0)
+
+        near += held[LINKED] + held[NEAR]
+        if held[EQUAL]:
+            x, y = np.concatenate([a for a, _ in held[EQUAL]]).reshape(-1, 2), np.concatenate([b for _, b in held[EQUAL]])
+            order = np.lexsort((y, x[:, 1], x[:, 0]))
+            same = np.concatenate([[False], (x[order][1:] == x[order][:-1]).all(axis=1)])
+            e = edges(order, same, y)
+            if len(e):
+                yield _batch([_packed(home, LINKED, e[:, 0], e[:, 1])])
+            near.append((e[:, 0], e[:, 1]))
+        if held[SIGNED]:
+            x, y = np.concatenate([a for a, _ in held[SIGNED]]), np.concatenate([b for _, b in held[SIGNED]])
+            held.clear()
+            order = np.argsort(x, kind="stable")
+            same = np.concatenate([[False], x[order][1:] == x[order][:-1]])[: len(x)]
+            e = edges(order, same, y)
+            near.append((e[:, 0], e[:, 1]))
+        if near:
+            a, b = stars(*(np.concatenate(x) for x in zip(*near, strict=True)))
+            key = mixed(a.view(np.uint64))
+            for k, at in _sliced(key, np.argsort(key, kind="stable"), buckets):
+                yield _batch([_packed(k, NEAR, a[at], b[at])])
+
+    return match
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What _match packed -> (kind, a, b), a row each. A document with signatures in many ranges has a candidate edge
+    from each: they meet here and are one star again, so edges don't grow with the number of ranges."""
     near: list[tuple[np.ndarray, np.ndarray]] = []
-    for batch in batches:
-        for kind, a, b in zip(batch.column("kind").to_pylist(), batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
-            held[kind].append((np.frombuffer(a, "<u8" if kind in (SIGNED, EQUAL) else "<i8"), np.frombuffer(b, "<i8")))
 
     def out(kind, a, b):
         for i in range(0, len(b), 50_000):
             yield pa.record_batch([pa.array(np.full(len(b[i : i + 50_000]), kind, np.int32)), pa.array(a[i : i + 50_000], pa.int64()), pa.array(b[i : i + 50_000], pa.int64())], ["kind", "a", "b"])
 
-    def edges(order, same, ids):
-        lead = order[np.flatnonzero(~same)[np.cumsum(~same) - 1]]
-        x = np.column_stack([ids[lead][same], ids[order][same]])
-        return np.unique(x[x[:, 0] != x[:, 1]], axis=0)
-
-    for a, b in held[SIZES]:
-        yield from out(SIZES, a if len(a) else pa.nulls(len(b), pa.int64()), b)
-    for a, b in held[LINKED]:
-        yield from out(LINKED, a, b)
-        near.append((a, b))
-    near += held[NEAR]
-    if held[EQUAL]:
-        x, y = np.concatenate([a for a, _ in held[EQUAL]]).reshape(-1, 2), np.concatenate([b for _, b in held[EQUAL]])
-        order = np.lexsort((y, x[:, 1], x[:, 0]))
-        same = np.concatenate([[False], (x[order][1:] == x[order][:-1]).all(axis=1)])
-        e = edges(order, same, y)
-        yield from out(LINKED, e[:, 0], e[:, 1])
-        near.append((e[:, 0], e[:, 1]))
-    if held[SIGNED]:
-        x, y = np.concatenate([a for a, _ in held[SIGNED]]), np.concatenate([b for _, b in held[SIGNED]])
-        held.clear()
-        order = np.argsort(x, kind="stable")
-        same = np.concatenate([[False], x[order][1:] == x[order][:-1]])[: len(x)]
-        e = edges(order, same, y)
-        near.append((e[:, 0], e[:, 1]))
+    for batch in batches:
+        for kind, a, b in zip(batch.column("kind"), batch.column("a"), batch.column("b"), strict=True):
+            kind, a, b = kind.as_py(), np.frombuffer(a.as_py(), "<i8"), np.frombuffer(b.as_py(), "<i8")
+            if kind == NEAR:
+                near.append((a, b))
+            else:
+                yield from out(kind, a if len(a) else pa.nulls(len(b), pa.int64()), b)
     if near:
         yield from out(NEAR, *stars(*(np.concatenate(x) for x in zip(*near, strict=True))))
 
@@ -381,7 +410,8 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     parts = partitions(spark)
     common = spark.sparkContext.broadcast(common_hashes(texts, n))
     dealt = texts.mapInArrow(tidy(_sign(n, percent, 4 * parts, common)), "bucket int, kind int, a binary, b binary").repartition(parts, "bucket")
-    found = checkpoint(dealt.mapInArrow(tidy(_match), "kind int, a long, b long"))
+    matched = dealt.mapInArrow(tidy(_match(parts)), "bucket int, kind int, a binary, b binary").repartition(parts, "bucket")
+    found = checkpoint(matched.mapInArrow(tidy(_meet), "kind int, a long, b long"))
     exact = found.where(F.col("kind") == LINKED).select("a", "b")
     own = found.where(F.col("kind") == SIZES).select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"))
     # of equal sets, only the first goes on

@@ -135,3 +135,19 @@ def test_connected_components(spark, monkeypatch, hub):
     edges = [(i, i + 1) for i in range(40)] + [(100, 7), (200, 201), (201, 200), (300, 300), (202, 200)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 0, 200: 200, 201: 200, 202: 200}
+
+
+def test_candidate_edges_do_not_grow_with_ranges():
+    """Edges that documents have from each of many ranges are one star again where they meet."""
+    import numpy as np
+    import pyarrow as pa
+
+    from quarrystone.llm.ngram_join import LINKED, NEAR, SIZES, _batch, _meet, _packed
+
+    nodes = np.arange(1, 501)
+    ranges = [_batch([_packed(0, NEAR, nodes, np.full(500, r % 2))]) for r in range(50)]
+    sizes = _batch([_packed(0, SIZES, nodes, nodes * 2), _packed(0, SIZES, np.zeros(0, np.int64), np.array([3])), _packed(0, LINKED, nodes[:2], nodes[1:3])])
+    got = pa.Table.from_batches(_meet(iter([*ranges, sizes]))).to_pylist()
+    assert sum(r["kind"] == NEAR for r in got) == 500 and {r["a"] for r in got if r["kind"] == NEAR} | {0} == set(range(501))
+    assert sum(r["kind"] == SIZES for r in got) == 501 and [r["b"] for r in got if r["kind"] == SIZES and r["a"] is None] == [3]
+    assert [(r["a"], r["b"]) for r in got if r["kind"] == LINKED] == [(1, 2), (2, 3)]
