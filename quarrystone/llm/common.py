@@ -5,12 +5,17 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Links from which on a node is a hub, whose links aren't dealt by node; and how many hubs there can be (24 bytes each).
 HUB_LINKS, MOST_HUBS = 1_000, 100_000
+#: Links that one task joins (16 bytes each); while there are more, they are dealt by node, round by round.
+TASK_LINKS = 1 << 20
 #: ASCII white space; everything else is part of a word.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -114,19 +119,76 @@ def single_thread() -> None:
     os.environ.setdefault("OMP_NUM_THREADS", "1")
 
 
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that join the same nodes with fewer edges: every node but the least of its component, and that least one."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        low, new = np.minimum(label[u], label[v]), label.copy()
+        for ends in (u, v, label[u], label[v]):
+            np.minimum.at(new, ends, low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    moved = label != np.arange(len(nodes))
+    return nodes[moved], nodes[label[moved]]
+
+
+def _task_stars(limit: int):
+    """(a, b) -> (a, b): what a task holds as stars, at most limit links at a time."""
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, amount = [], 0
+
+        def out(a, b):
+            for i in range(0, len(a), 50_000):
+                yield pa.record_batch([pa.array(x[i : i + 50_000], pa.int64()) for x in (a, b)], ["a", "b"])
+
+        for batch in batches:
+            held.append([batch.column(c).to_numpy() for c in ("a", "b")])
+            amount += batch.num_rows
+            if amount > limit:
+                held = [stars(*(np.concatenate(x) for x in zip(*held, strict=True)))]
+                amount = len(held[0][0])
+                if 2 * amount > limit:
+                    yield from out(*held[0])
+                    held, amount = [], 0
+        if held:
+            yield from out(*stars(*(np.concatenate(x) for x in zip(*held, strict=True))))
+
+    return joined
+
+
+def _one_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b), all of them -> (node, component)."""
+    held = [[batch.column(c).to_numpy() for c in ("a", "b")] for batch in batches]
+    if held:
+        node, component = stars(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        least = np.unique(component)
+        node, component = np.concatenate([node, least]), np.concatenate([component, least])
+        for i in range(0, len(node), 50_000):
+            yield pa.record_batch([pa.array(x[i : i + 50_000], pa.int64()) for x in (node, component)], ["node", "component"])
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(a, b) of long -> (node, component): the smallest node that links reach. Nodes without links are left out.
 
     Alternating large-star and small-star rounds: each round is a few aggregations over at most as many edges as
     before and is checkpointed once, and no adjacency list is ever gathered (the minimum of a neighbourhood is an
     ordinary partially aggregated min), so a hub that links a third of all rows does not land in one task: hubs' minima
-    are broadcast and their links stay where they lie.
+    are broadcast and their links stay where they lie. Each task first makes stars of its links, and at most TASK_LINKS
+    of them are joined in one task without any round: a round's shuffles leave three files a task each, however few
+    the links are.
     """
-    pairs = checkpoint(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    pairs = checkpoint(edges.where("a <> b").select("a", "b").mapInArrow(tidy(_task_stars(TASK_LINKS)), "a long, b long")).toDF("u", "v")
     last = None
     for _ in range(max_rounds):
         # settled when a round changes nothing
         state = pairs.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u") % 1000003)).first()
+        if state[0] <= TASK_LINKS:
+            return checkpoint(pairs.toDF("a", "b").coalesce(1).mapInArrow(tidy(_one_task), "node long, component long"))
         if state == last:
             break
         last = state

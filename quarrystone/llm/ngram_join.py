@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_key, checkpoint, connected_components, one_by_one, partitions, tidy, whole
+from .common import by_key, checkpoint, connected_components, one_by_one, partitions, stars, tidy, whole
 
 SIGNED, EQUAL, SIZES, LINKED, NEAR = range(5)
 FLUSH = 1 << 18
@@ -57,23 +57,6 @@ def _sliced(key: np.ndarray, order: np.ndarray, buckets: int) -> list[tuple[int,
     return [(int(bucket[a]), order[a:b]) for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True)]
 
 
-def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that join the same nodes with fewer edges: every node but the least of its component, and that least one."""
-    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    u, v = at[: len(a)], at[len(a) :]
-    label = np.arange(len(nodes))
-    while True:
-        low, new = np.minimum(label[u], label[v]), label.copy()
-        for ends in (u, v, label[u], label[v]):
-            np.minimum.at(new, ends, low)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    moved = label != np.arange(len(nodes))
-    return nodes[moved], nodes[label[moved]]
-
-
 def common_hashes(texts: DataFrame, n: int, sample: int = SAMPLE, most: int = MOST_COMMON) -> np.ndarray:
     """Hashes of n-grams that at least three documents of a sample hold (about ``sample`` documents of at most 20,000
     characters, by a hash of their id), the most frequent ``most`` of them, sorted. They steer which signatures are

@@ -151,3 +151,25 @@ def test_candidate_edges_do_not_grow_with_ranges():
     assert sum(r["kind"] == NEAR for r in got) == 500 and {r["a"] for r in got if r["kind"] == NEAR} | {0} == set(range(501))
     assert sum(r["kind"] == SIZES for r in got) == 501 and [r["b"] for r in got if r["kind"] == SIZES and r["a"] is None] == [3]
     assert [(r["a"], r["b"]) for r in got if r["kind"] == LINKED] == [(1, 2), (2, 3)]
+
+
+@pytest.mark.parametrize("hub", [1000, 3])
+@pytest.mark.parametrize("most", [1 << 20, 150, 0])
+def test_few_links_are_joined_without_rounds(spark, monkeypatch, most, hub):
+    """Each round's shuffles leave files on disk: links that one task can hold need none; more go through rounds."""
+    from quarrystone.llm import common
+
+    written = []
+    monkeypatch.setattr(common, "checkpoint", lambda df, write=common.checkpoint: written.append(1) or write(df))
+    monkeypatch.setattr(common, "TASK_LINKS", most)
+    monkeypatch.setattr(common, "HUB_LINKS", hub)
+    rng = random.Random(5)
+    edges = [(i, i + 1) for i in range(90)] + [(200 + rng.randrange(150), 200 + rng.randrange(150)) for _ in range(110)] + [(2**62, -5), (7, 7), (1000, 1000)]
+    index = {x: k for k, x in enumerate(sorted({x for e in edges for x in e}))}
+    forest, nodes = Forest(len(index)), list(index)
+    for a, b in edges:
+        forest.join(index[a], index[b])
+    got = [tuple(r) for r in connected_components(spark.createDataFrame(edges, "a long, b long").repartition(3)).collect()]
+    assert sorted(got) == sorted((x, nodes[forest.find(index[x])]) for x in {x for a, b in edges if a != b for x in (a, b)})
+    assert (len(written) <= 2) == (most == 1 << 20)
+    assert connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
