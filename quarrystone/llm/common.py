@@ -98,6 +98,13 @@ def release_memory() -> None:
         pass
 
 
+def local_rows(spark: SparkSession, rows: list[tuple], kind: dict[str, pa.DataType]) -> DataFrame:
+    """A few rows of the driver, planned as they are. From a plain list they would be read by Python workers of another
+    kind than those of Arrow batches, which executors keep beside these, with a daemon of their own."""
+    columns = list(zip(*rows, strict=True)) or [()] * len(kind)
+    return spark.createDataFrame(pa.table({name: pa.array(c, t) for (name, t), c in zip(kind.items(), columns, strict=True)}))
+
+
 def by_key(rows: DataFrame, known: DataFrame, key: str, count: str) -> DataFrame:
     """rows joined with known (key, count and others; one row a key), where count tells how many rows a key has: the most frequent keys are
     broadcast, so that their rows stay where they lie; the others' rows are dealt by key."""
@@ -180,7 +187,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     ordinary partially aggregated min), so a hub that links a third of all rows does not land in one task: hubs' minima
     are broadcast and their links stay where they lie. Each task first makes stars of its links, and at most TASK_LINKS
     of them are joined in one task without any round: a round's shuffles leave three files a task each, however few
-    the links are.
+    the links are. Edges that Python made are checkpointed before: in one stage with them, each task would run
+    two Python workers, and executors keep all workers that they ever ran at once.
     """
     pairs = checkpoint(edges.where("a <> b").select("a", "b").mapInArrow(tidy(_task_stars(TASK_LINKS)), "a long, b long")).toDF("u", "v")
     last = None

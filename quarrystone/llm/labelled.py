@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import local_rows
+
 
 def id_remainder(id_col: str, modulus: int) -> Column:
     """crc32 of the id's text, modulo; null for a null id."""
@@ -29,7 +32,7 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, keep: Column,
         rows += [(r[0], c) for r in known.where(F.col("__y") == c).orderBy(F.xxhash64("__id"), "__id").limit(n).select("__id").collect()]
     if not rows:
         return None, counts
-    chosen = docs.sparkSession.createDataFrame(rows, "__id long, __y int")
+    chosen = local_rows(docs.sparkSession, rows, {"__id": pa.int64(), "__y": pa.int32()})
     texts = docs.select(F.col(id_col).cast("long").alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__t")).where(F.length("__t") <= max_chars)
     # at most sum(per_class) rows of two numbers are broadcast; an id that repeats gives its greatest text
     return texts.join(F.broadcast(chosen), "__id").groupBy("__id", "__y").agg(F.max("__t").alias("__t")), counts

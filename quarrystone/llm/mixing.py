@@ -10,10 +10,11 @@ from __future__ import annotations
 
 from collections import defaultdict
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, checkpoint, whole
+from .common import WORD, checkpoint, local_rows, whole
 
 MAX_REPEATS = 3
 #: Patterns (distinct sets of sources) that the driver solves for; more is an error, never a silent cut.
@@ -181,8 +182,8 @@ def _solve(rows: DataFrame, weight_cycle, weights, share: float, most: int) -> D
         epochs = min(most, int(flow // n)) if n else 0
         rest = 0 if epochs >= most else int(round(flow - epochs * n))
         plan.append((list(sources), sum(sizes[s] for s in sources), float(sum(target[s] for s in sources)), epochs, rest, max(1, -(-count // BUCKET_ROWS))))
-    kind = "__sources array<string>, source_size long, target double, epochs int, rest long, buckets int"
-    return rows.sparkSession.createDataFrame(plan, kind).withColumn("k", _key()).drop("__sources")
+    kind = {"__sources": pa.list_(pa.string()), "source_size": pa.int64(), "target": pa.float64(), "epochs": pa.int32(), "rest": pa.int64(), "buckets": pa.int32()}
+    return local_rows(rows.sparkSession, plan, kind).withColumn("k", _key()).drop("__sources")
 
 
 def _key() -> Column:
@@ -206,7 +207,7 @@ def _cuts(marked: DataFrame) -> DataFrame:
         .where("before < rest AND before + held >= rest")
         .groupBy("k").agg(F.min("bucket").alias("cut"), F.min_by(F.col("rest") - F.col("before"), "bucket").alias("room"))
     )
-    return marked.sparkSession.createDataFrame(cuts.collect(), cuts.schema)  # one row a pattern
+    return marked.sparkSession.createDataFrame(cuts.toArrow())  # one row a pattern
 
 
 def _easy() -> Column:

@@ -416,7 +416,7 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
         apart = _linkable(texts, checkpoint(now.join(several, "component").select("doc_id", "part", "n").distinct()), n, percent)
         links = so_far.select(F.col("node").alias("a"), F.col("component").alias("b"))
         if not apart.isEmpty():
-            links = links.union(_verify(texts, _between_parts(texts, apart, n, percent, common, block_grams), n, percent))
+            links = links.union(checkpoint(_verify(texts, _between_parts(texts, apart, n, percent, common, block_grams), n, percent)))
     reached = connected_components(links.union(exact))
     return own.join(reached.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 

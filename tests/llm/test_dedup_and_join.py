@@ -100,6 +100,28 @@ def test_components_of_a_shared_passage(spark, monkeypatch, block):
     assert got == brute_components(rows, 5, 80)
 
 
+def test_a_task_of_the_join_runs_one_python_worker(spark, monkeypatch):
+    """Executors keep the workers of the stage that ran most of them: links are made and joined in different stages."""
+    seen = []
+
+    def joined(edges):
+        seen.append(edges._jdf.queryExecution().optimizedPlan().toString())
+        return connected_components(edges)
+
+    monkeypatch.setattr(ngram_join, "common_hashes", lambda texts, n: np.zeros(0, np.uint64))
+    monkeypatch.setattr(ngram_join, "connected_components", joined)
+    rng = random.Random(3)
+    shared, rows = [f"s{i}" for i in range(60)], []
+    for _ in range(12):
+        base = [f"w{rng.randrange(3000)}" for _ in range(30)] + shared
+        rows += [(len(rows) + k, " ".join(base[:k] + base[k + 1 :]), "s") for k in range(3)]
+    # other parts hold all of the first one's n-grams, so documents are compared between parts
+    rows += [(len(rows), " ".join(shared), "s"), (len(rows) + 1, " ".join(shared[:45]), "s")]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_components(table(spark, rows), 5, 80, block_grams=20).collect()}
+    assert got == brute_components(rows, 5, 80)
+    assert len(seen) == 4 and not [p for p in seen if "MapInArrow" in p]
+
+
 def test_stars():
     rng = random.Random(2)
     for _ in range(200):

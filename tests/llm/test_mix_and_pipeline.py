@@ -40,6 +40,23 @@ def test_mix(docs, prose, odd, empty):
     assert mix(empty).count() == 0 and mixed_documents(empty).count() == 0 and mix(odd).count() == odd.count()
 
 
+def test_rows_of_the_driver_need_no_python_workers(spark):
+    """Executors would keep workers for lists beside those for Arrow batches."""
+    from quarrystone.llm import mixing
+    from quarrystone.llm.labelled import labelled_rows
+
+    docs = spark.range(60).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), F.col("id").cast("int") % 7).alias("text"), F.when(F.col("id") % 3 > 0, F.concat(F.lit("s"), F.col("id") % 3)).alias("source"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    sample, counts = labelled_rows(docs, labels, "toxic", F.lit(True), {1: 5, 0: 50}, 100, "doc_id", "text")
+    assert counts == {0: 30, 1: 30} and Counter(r["__y"] for r in sample.collect()) == {1: 5, 0: 30}
+    rows = docs.select(*mixing._sized(docs, None, None, "doc_id")).withColumn("__at", F.monotonically_increasing_id())
+    plan = mixing._solve(rows, (5, 2, 1), None, 0.7, 3)
+    cuts = mixing._cuts(mixing._marked(rows, plan, 17))
+    assert plan.count() == 3 and cuts.count() > 0
+    for frame in (sample, plan, cuts):
+        assert "RDD" not in frame._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_mix_overlapping(spark):
     d = table(spark, [(i, "w " * (5 + i % 4), "ab"[i % 2] if i % 3 else "a,b") for i in range(600)])
     rows = mix(d, weights={"a": 1, "b": 1}, share=1.5, membership=F.split("source", ",")).collect()
