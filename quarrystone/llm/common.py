@@ -9,13 +9,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Links from which on a node is a hub, whose links aren't dealt by node; and how many hubs there can be (24 bytes each).
 HUB_LINKS, MOST_HUBS = 1_000, 100_000
 #: Links that one task joins (16 bytes each); while there are more, they are dealt by node, round by round.
 TASK_LINKS = 1 << 20
+#: Links from which on each round's shuffles leave the disk before the next.
+RELEASE_LINKS = 1 << 20
 #: ASCII white space; everything else is part of a word.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -115,6 +117,51 @@ def by_key(rows: DataFrame, known: DataFrame, key: str, count: str) -> DataFrame
     return rows.join(hot, key).unionByName(rest)
 
 
+def parted_by(rows: DataFrame, own: Column, ids: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """(rows whose own id, a long, is among ids, a column of distinct ones; the other rows, those without an id too).
+
+    Texts of other rows than those sought aren't dealt, however many the ids: what is broadcast are masks of 64 ids that
+    follow one another. More than ``most`` of these (sparse ids) are masks of hashes instead, ``most`` at most; then only
+    rows that meet a mask are joined by a shuffle, which settles the few that meet one by chance.
+    """
+    ids = ids.toDF("__id")
+
+    def masks(place: str) -> DataFrame:
+        at = ids.select(F.expr(f"shiftright({place}, 6)").alias("__at"), F.expr(f"shiftleft(1L, cast({place} & 63 AS int))").alias("__bit"))
+        return checkpoint(at.groupBy("__at").agg(F.bit_or("__bit").alias("__mask")))
+
+    place = "__id"
+    held = masks(place)
+    exact = held.count() <= most
+    if not exact:
+        place = f"pmod(xxhash64(__id), {64 * max(1, most)}L)"
+        held = masks(place)
+    met = rows.withColumn("__id", own).withColumn("__at", F.expr(f"shiftright({place}, 6)")).join(F.broadcast(held), "__at", "left")
+    met = met.withColumn("__met", F.expr(f"__id IS NOT NULL AND coalesce(__mask & shiftleft(1L, cast({place} & 63 AS int)) <> 0, false)"))
+    inside, outside = (met.where(F.col("__met") == x).select("__id", *(met[c] for c in rows.columns)) for x in (True, False))
+    if not exact:
+        inside, outside = inside.join(ids, "__id", "left_semi"), outside.unionByName(inside.join(ids, "__id", "left_anti"))
+    return inside.drop("__id"), outside.drop("__id")
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Files of shuffles whose results are checkpointed leave the disk only when the driver has collected the plans that
+    refer to them, which a driver with free memory may not do for long. Where they are large it is asked to: four times,
+    as Spark itself lets go of a plan somewhat later, and on while that helps."""
+    import gc
+    import time
+
+    sc = spark.sparkContext
+    shuffles = sc._jsc.sc().env().mapOutputTracker().shuffleStatuses()
+    for k in range(10):
+        before = shuffles.size()
+        gc.collect()
+        sc._jvm.System.gc()
+        time.sleep(0.4)
+        if not before or k >= 3 and shuffles.size() == before:
+            break
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -211,6 +258,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         small_least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(small_least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(small_least.select("u", F.col("m").alias("v")))
         pairs = checkpoint(small.distinct())
+        del both, least, hubs, larger, rest, large, small_least, small
+        if state[0] >= RELEASE_LINKS:
+            release_shuffles(edges.sparkSession)
     else:
         raise RuntimeError("links did not settle")
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).union(pairs.select(F.col("v"), F.col("v"))).distinct()

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_key, checkpoint, connected_components, one_by_one, partitions, stars, tidy, whole
+from .common import by_key, checkpoint, connected_components, one_by_one, parted_by, partitions, release_shuffles, stars, tidy, whole
 
 SIGNED, EQUAL, SIZES, LINKED, NEAR = range(5)
 FLUSH = 1 << 18
@@ -33,10 +33,15 @@ BLOCK_GRAMS = 1 << 17
 ANCHORS = 16
 #: Minimum hashes by which documents of components too large for one tree meet first.
 ALIKE = 4
-#: Documents looked at for common n-grams, and how many of those n-grams are broadcast (8 bytes each).
-SAMPLE, MOST_COMMON = 4_000, 300_000
-#: Documents in blocks up to which (block, id), 16 bytes each, is broadcast to fetch texts; beyond, a shuffle join.
+#: Documents looked at for common n-grams at least, and of how many one is at least: what 50 of a larger corpus hold is
+#: common as well, or unrelated documents would grow together into components ever larger. How many of those n-grams
+#: are broadcast (8 bytes each).
+SAMPLE, EVERY, MOST_COMMON = 4_000, 16, 300_000
+#: Documents in blocks up to which (block, id), 16 bytes each, is broadcast to fetch texts; beyond, the texts sought are
+#: dealt by id. Masks of ids (16 bytes each) that tell which are sought, or go.
 BROADCAST_IDS = 250_000
+#: N-grams from which on shuffles leave the disk as soon as what was made of them is checkpointed.
+RELEASE_GRAMS = 1 << 24
 
 
 def _packed(bucket: int, kind: int, a: np.ndarray, b: np.ndarray):
@@ -59,9 +64,9 @@ def _sliced(key: np.ndarray, order: np.ndarray, buckets: int) -> list[tuple[int,
 
 def common_hashes(texts: DataFrame, n: int, sample: int = SAMPLE, most: int = MOST_COMMON) -> np.ndarray:
     """Hashes of n-grams that at least three documents of a sample hold (about ``sample`` documents of at most 20,000
-    characters, by a hash of their id), the most frequent ``most`` of them, sorted. They steer which signatures are
-    made, never which links are found."""
-    share = max(1, texts.count() // sample)
+    characters, by a hash of their id, or one of EVERY if these are more), the most frequent ``most`` of them, sorted.
+    They steer which signatures are made, never which links are found."""
+    share = max(1, min(texts.count() // sample, EVERY))
     rows = texts.where((F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0) & (F.length("text") <= 20_000)).select("text")
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,8 +258,11 @@ def _trees(n: int, percent: int):
 
 
 def _texts_of(texts: DataFrame, rows: DataFrame) -> DataFrame:
-    """rows with their texts; few rows are broadcast, so that texts stay where they lie."""
-    return texts.join(F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows, "doc_id")
+    """rows with their texts; few rows are broadcast, so that texts stay where they lie. Else no text is dealt but those
+    of the rows."""
+    if rows.count() <= BROADCAST_IDS:
+        return texts.join(F.broadcast(rows), "doc_id")
+    return parted_by(texts, F.col("doc_id"), rows.select("doc_id").distinct(), BROADCAST_IDS)[0].join(rows, "doc_id")
 
 
 def _spread(batches: Iterator[pa.RecordBatch], numbers_of, name: str) -> Iterator[pa.RecordBatch]:
@@ -272,10 +280,15 @@ def _spread(batches: Iterator[pa.RecordBatch], numbers_of, name: str) -> Iterato
 
 
 def _all_grams(n: int):
-    """(doc_id, text, part, n) -> (h, doc_id, part, n): all n-grams."""
+    """(doc_id, text, part, n) -> (h, doc_id, part, n): all n-grams of a text in one array."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _spread(batches, ngrams_of(n).of, "h")
+        grams = ngrams_of(n)
+        for batch in batches:
+            for i, text in enumerate(one_by_one(batch.column("text"))):
+                h = grams.of(text).view(np.int64)
+                row = batch.slice(i, 1)
+                yield pa.record_batch([pa.ListArray.from_arrays(pa.array([0, len(h)], pa.int32()), pa.array(h, pa.int64())), *(row.column(c) for c in ("doc_id", "part", "n"))], ["h", "doc_id", "part", "n"])
 
     return spread
 
@@ -346,7 +359,9 @@ def _linkable(texts: DataFrame, parts: DataFrame, n: int, percent: int) -> DataF
     """Of parts (doc_id, part, n), the documents that can be linked with another part at all: linked sets share at least
     percent of the n-grams of each, so as many of a document's n-grams must be held by other parts. What unrelated
     documents have in common (lines, passages) is mostly less."""
-    held = checkpoint(_texts_of(texts, parts).select("doc_id", "text", "part", "n").mapInArrow(tidy(_all_grams(n)), "h long, doc_id long, part long, n long"))
+    # an array a document takes 8 bytes an n-gram on disk, a row an n-gram would take 44
+    packed = checkpoint(_texts_of(texts, parts).select("doc_id", "text", "part", "n").mapInArrow(tidy(_all_grams(n)), "h array<long>, doc_id long, part long, n long"))
+    held = packed.withColumn("h", F.explode("h"))
     shared = held.groupBy("h").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("docs")).where("low <> high")
     counted = by_key(held, checkpoint(shared.select("h", "docs")), "h", "docs").groupBy("doc_id", "part", "n").count()
     return checkpoint(counted.where(F.col("count") * 100 >= F.col("n") * percent).select("doc_id", "part", "n"))
@@ -395,6 +410,7 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     dealt = texts.mapInArrow(tidy(_sign(n, percent, 4 * parts, common)), "bucket int, kind int, a binary, b binary").repartition(parts, "bucket")
     matched = dealt.mapInArrow(tidy(_match(parts)), "bucket int, kind int, a binary, b binary").repartition(parts, "bucket")
     found = checkpoint(matched.mapInArrow(tidy(_meet), "kind int, a long, b long"))
+    del dealt, matched
     exact = found.where(F.col("kind") == LINKED).select("a", "b")
     own = found.where(F.col("kind") == SIZES).select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"))
     # of equal sets, only the first goes on
@@ -402,12 +418,17 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     blocks = checkpoint(blocks.join(own.groupBy("doc_id").agg(F.sum("n_shingles").alias("n")), "doc_id"))
     sizes = blocks.groupBy("component").agg(F.count("*").alias("docs"), F.sum("n").alias("weight")).where("docs > 1")
     sized = checkpoint(blocks.join(sizes, "component"))
+    heavy = (own.agg(F.sum("n_shingles")).first()[0] or 0) >= RELEASE_GRAMS
+    if heavy:
+        release_shuffles(spark)  # all signatures: more bytes than the texts
     inside = sized.where(F.col("weight") > block_grams).select("doc_id", F.col("component").alias("part"), "n")
     large = not inside.isEmpty()
     members = sized.where(F.col("weight") <= block_grams).select(F.xxhash64("component").alias("block"), "doc_id")
     if large:
         members = members.union(_alike(texts, inside, n, block_grams))
     links = checkpoint(_verify(texts, checkpoint(members), n, percent))
+    if heavy:
+        release_shuffles(spark)  # the texts of all blocks
     if large:
         so_far = checkpoint(connected_components(links))
         now = inside.withColumnRenamed("part", "component").join(so_far.select(F.col("node").alias("doc_id"), F.col("component").alias("part")), "doc_id", "left")
@@ -425,17 +446,15 @@ def keep_one(docs: DataFrame, components: DataFrame, id_col: str = "doc_id", tex
     """One document of each component: the rows whose component is their own id. Of rows that repeat such an id, the one
     with the least text stays (null counts as empty). Rows with a null id are not linked with anything and all stay."""
     components = checkpoint(components.where("doc_id IS NOT NULL"))
-    gone = components.where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    # ids that go are broadcast up to BROADCAST_IDS (16 bytes each), else joined by a shuffle
-    few = lambda ids: F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     own = F.col(id_col).cast("long")
-    kept = docs.join(few(gone), own == F.col("__gone"), "left_anti")
-    again = components.where("component_id = doc_id").groupBy(F.col("doc_id").alias("__again")).count().where("count > 1").select("__again")
+    gone = components.where("component_id <> doc_id").select("doc_id").distinct()
+    kept = parted_by(docs, own, gone, BROADCAST_IDS)[1]
+    again = components.where("component_id = doc_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if again.isEmpty():
         return kept
-    again = few(checkpoint(again))
-    first = kept.join(again, own == F.col("__again"), "left_semi").groupBy(own.alias("__id")).agg(F.min_by(F.struct(*docs.columns), F.struct(whole(F.col(text_col)), F.xxhash64(*docs.columns))).alias("__row"))
-    return kept.join(again, own == F.col("__again"), "left_anti").union(first.select("__row.*"))
+    several, others = parted_by(kept, own, checkpoint(again), BROADCAST_IDS)
+    first = several.groupBy(own.alias("__id")).agg(F.min_by(F.struct(*docs.columns), F.struct(whole(F.col(text_col)), F.xxhash64(*docs.columns))).alias("__row"))
+    return others.union(first.select("__row.*"))
 
 
 #: ngram_components() of documents for n = 4 and 85 percent.

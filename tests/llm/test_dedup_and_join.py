@@ -195,3 +195,51 @@ def test_few_links_are_joined_without_rounds(spark, monkeypatch, most, hub):
     assert sorted(got) == sorted((x, nodes[forest.find(index[x])]) for x in {x for a, b in edges if a != b for x in (a, b)})
     assert (len(written) <= 2) == (most == 1 << 20)
     assert connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+@pytest.mark.parametrize("most", [1000, 3, 0])
+@pytest.mark.parametrize("step", [1, 2**50 + 7])
+def test_rows_parted_by_ids(spark, most, step):
+    """Masks of ids that follow one another, of sparse ids, and fewer masks than ids need."""
+    from quarrystone.llm.common import parted_by
+
+    ids = [k * step for k in range(-90, 90, 7)]
+    rows = [*(k * step for k in range(-100, 100)), 5 * step, -6 * step, -6 * step, 2**63 - 1, -(2**63), None]
+    docs = table(spark, [(i, "x", None) for i in rows])
+    inside, outside = parted_by(docs, docs["doc_id"], spark.createDataFrame([(i,) for i in ids], "i long"), most)
+    key = lambda i: (i is None, i or 0)
+    assert inside.columns == outside.columns == docs.columns
+    assert sorted((r.doc_id for r in inside.collect()), key=key) == sorted((i for i in rows if i in ids), key=key)
+    assert sorted((r.doc_id for r in outside.collect()), key=key) == sorted((i for i in rows if i not in ids), key=key)
+
+
+def test_other_texts_are_not_dealt(spark, monkeypatch):
+    """Whatever the number of ids that are sought or go, the texts of other documents stay where they lie."""
+    monkeypatch.setattr(ngram_join, "BROADCAST_IDS", 6)
+    docs = table(spark, [(i, f"text {i // 2}", None) for i in range(200)])
+    components = spark.createDataFrame([(i, 1, i - i % 2) for i in range(200)], "doc_id long, n_shingles long, component_id long")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        kept = keep_one(docs, components)
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+        assert sorted(r.doc_id for r in kept.collect()) == list(range(0, 200, 2))
+        rows = spark.createDataFrame([(i, i % 3) for i in range(0, 40, 2)], "doc_id long, block long")
+        got = ngram_join._texts_of(docs.select("doc_id", "text"), rows)
+        assert sorted(map(tuple, got.select("doc_id", "block", "text").collect())) == [(i, i % 3, f"text {i // 2}") for i in range(0, 40, 2)]
+        assert "Filter" in got._jdf.queryExecution().executedPlan().toString().split("SortMergeJoin", 1)[1]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_signatures_leave_the_disk(spark, docs, monkeypatch):
+    """Shuffles of the first pass are gone when texts are dealt."""
+    tracker = spark.sparkContext._jsc.sc().env().mapOutputTracker()
+    known = lambda: {int(x) for x in tracker.shuffleStatuses().keys().mkString(",").split(",") if x}
+    seen, verify = [], ngram_join._verify
+    monkeypatch.setattr(ngram_join, "RELEASE_GRAMS", 0)
+    monkeypatch.setattr(ngram_join, "_verify", lambda *a: seen.append(known()) or verify(*a))
+    start = max(known(), default=-1)
+    ngram_components(docs, 4, 85).collect()
+    assert len([x for x in seen[0] if x > start]) <= 2
